@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, neardup, pii
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
+    "op4_near_dedup": neardup.op4_near_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": neardup.OP4_SQL,
+}
