@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, pii
+from . import bpe, langid, neardup, pii, quality, toxicity
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op3_quality": quality.op3_quality,
     "op4_near_dedup": neardup.op4_near_dedup,
+    "op5_language_id": langid.op5_language_id,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
 }
 
