@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, neardup, pii, quality, toxicity
+from . import bpe, decontaminate, langid, neardup, pii, quality, topk, toxicity
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
     "op4_near_dedup": neardup.op4_near_dedup,
+    "op6_topk": topk.op6_topk,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op5_language_id": langid.op5_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
@@ -15,4 +17,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_near_dedup": neardup.OP4_SQL,
+    "op6_topk": topk.OP6_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
