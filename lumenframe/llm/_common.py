@@ -111,6 +111,40 @@ def stream(
     return df.mapInArrow(run, schema)
 
 
+def pick_rows(df: DataFrame, text: str, start: Callable[[], Callable[[list], list[bool]]], batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """The rows of `df`, all columns as they are, whose text passes; `start()` makes the test once in each task."""
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = start()
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def map_text(df: DataFrame, text: str, start: Callable[[], Callable[[list], list]], length: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """The rows of `df` with their texts rewritten, and the column `length`, if there, set to the new lengths."""
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rewrite = start()
+        for b in batches:
+            columns = list(b.columns)
+            new = rewrite(b.column(names.index(text)).to_pylist())
+            columns[names.index(text)] = pa.array(new, b.schema.field(names.index(text)).type)
+            if length in names:
+                i = names.index(length)
+                columns[i] = pa.array([None if t is None else len(t) for t in new], b.schema.field(i).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def doc_hash(key: str = "doc_id"):
     """crc32 of the id as text: the split and sampling key that every engine computes alike."""
     return F.crc32(F.col(key).cast("string").cast("binary"))

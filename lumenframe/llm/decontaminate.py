@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stream, table
+from ._common import pick_rows, stream, table
 from .shingles import Minima, shingle_hashes, words
 
 #: Shingle length, and the least containment as a fraction.
@@ -113,15 +113,19 @@ class Index:
         return out
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, containment: one row for each item that a document holds."""
+def _blocks(items: DataFrame) -> list[DataFrame]:
+    """The usable items, in blocks of about BLOCK_BYTES."""
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 512 + 8 * F.size(F.split("text", " ")))).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    deal = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, containment: one row for each item that a document holds."""
     out = None
-    for i in range(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in items.where(deal == i).collect()))
+    for block in _blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in block.collect()))
 
         def run(batches, shared=shared):
             index = Index(shared.value)
@@ -134,6 +138,19 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no item, all columns as they are."""
+    for block in _blocks(items):
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in block.collect()))
+
+        def start(shared=shared):
+            index = Index(shared.value)
+            return lambda texts: [not index.held(t) for t in texts]
+
+        docs = pick_rows(docs, text, start)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_items, item_ids (ascending, comma-joined) of the documents that hold benchmark items."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

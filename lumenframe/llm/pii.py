@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stream, table
+from ._common import map_text, stream, table
 from .boosting import BoostedTrees
 
 #: Kinds with fixed definitions, in report order; the further kinds come from the model alone.
@@ -303,5 +303,15 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return stream(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string")
 
 
+def redact_rows(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """All rows of `docs` with personal data in their texts replaced, and the column of lengths brought up to date."""
+    fitted = model()
+
+    def start():
+        return lambda texts: [redact(t, s) for t, (_, s) in zip(texts, find_spans(texts, fitted))]
+
+    return map_text(docs, text, start, length)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))

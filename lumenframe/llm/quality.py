@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._common import doc_hash, sample_by_class, stream, table
+from ._common import doc_hash, pick_rows, sample_by_class, stream, table
 
 #: Labelled documents of each class that the fit reads.
 SAMPLE = 1200
@@ -180,6 +180,18 @@ def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str =
     return stream(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, score double")
 
 
+def keep_good(docs: DataFrame, model: SubwordModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of `docs` that score at least `threshold`, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.margin.tobytes(), model.bias))
+
+    def start():
+        raw, bias = shared.value
+        scorer = Scorer(SubwordModel(np.frombuffer(raw, np.float32), bias))
+        return lambda texts: [s >= threshold for s in scorer.scores(texts)]
+
+    return pick_rows(docs, text, start)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").where(doc_hash() % 5 != 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, langid, neardup, pii, quality, topk, toxicity
+from . import bpe, decontaminate, html, langid, neardup, pii, quality, topk, toxicity, trainorder
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_bpe": bpe.op9_bpe,
+    "op10_training_order": trainorder.op10_training_order,
 }
 
 ORACLES: dict[str, str] = {
