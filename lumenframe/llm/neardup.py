@@ -9,15 +9,18 @@ expanding a posting list into all pairs, the join runs in two rounds:
    whose signatures agree in too few minima are dropped, the others are
    confirmed on their full sets, and confirmed pairs merge into components;
 2. members that round 1 has merged are skipped: only lists that still hold two
-   components are opened, and only pairs across components are made there.  A
-   long list is first split by a further coordinate (a linked pair shares
-   many), up to `DEPTH` coordinates; past that every pair is still made, so
-   nothing is lost.
-
-A pair below a list's threshold of shared minima is never confirmed, and a
-linked pair is missed only if it shares fewer than DEPTH of the coordinates or
-far fewer minima than its similarity gives: below one in a million at the
-threshold itself, and less above it.
+   components are opened, and only pairs across components are made there.
+   Members of whose minima too few occur in another component leave first.  The
+   others are joined by prefixes of their full sets: shingles found in one
+   component only come first, then the rarer before the commoner, and a member
+   is posted under a shingle only while enough shingles follow it to reach the
+   threshold.  A pair needs that on both sides.  Copies that differ from each
+   other a little too much use up their prefix on their own changes, so they are
+   never paired, however many they are; and no pair that is linked is left out.
+
+A pair that shares too few minima is not confirmed; a linked pair is missed only
+if its signatures share no coordinate or far fewer minima than its similarity
+gives: below one in a million at the threshold itself, and less above it.
 
 Edge cases: a null, empty or blank text has the empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is one shingle;
@@ -32,14 +35,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import Scratch, stream, table
 from .graph import components
 from .shingles import Minima, fingerprint, shingle_set
 
-COORDINATES, ROWS, DEPTH = 28, 3, 3
-#: Posting lists of at most so many members are opened as they are.
-SHORT = 24
+COORDINATES, ROWS = 28, 3
 
 
 def least_matches(share: float, count: int = COORDINATES * ROWS) -> int:
@@ -92,8 +94,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, sc
         for rows in batches:
             yield {"id": rows["doc_id"], "set": [shingle_set(t, n).tobytes() for t in rows["text"]]}
 
-    # The ids' Bloom filter, built at run time, keeps other texts out of the shuffle.
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    # The Bloom filter of the ids, built at run time, keeps other texts out of the shuffle.
     mine = docs.select("doc_id", "text").join(ids.where(F.col("doc_id") > F.lit(-(1 << 63))), "doc_id", "left_semi")
     held = scratch.keep(stream(mine, sets, "id long, set binary"), "sets")
 
@@ -115,29 +116,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, sc
     return out
 
 
-def _across(lists: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members of one list but of different components.
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """key, n: the values of a column that rows of more than one component hold, and by how many rows.
 
-    lists: key, rep, comp, at (the highest coordinate in the key).  Lists longer
-    than SHORT go on to lists of one coordinate more.
+    Least and greatest component combine before the shuffle, so a value that very many hold is summed up in parts.
     """
-    found = []
-    for depth in range(1, DEPTH + 1):
-        size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "n")
-        lists = scratch.keep(lists.join(size, "key"), f"lists{depth}")
-        now = lists if depth == DEPTH else lists.where(F.col("n") <= SHORT)
-        x = now.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        y = now.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        found.append(x.join(y, "key").where("a < b and ca <> cb").select("a", "b"))
-        if depth == DEPTH or lists.where(F.col("n") > SHORT).isEmpty():
-            break
-        long = lists.where(F.col("n") > SHORT).join(reps.select("rep", coordinates().alias("c")), "rep")
-        more = long.select("key", "rep", "comp", "at", F.posexplode("c").alias("i", "value")).where("i > at")
-        lists = more.select(F.xxhash64("key", "value").alias("key"), "rep", "comp", F.col("i").alias("at"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    ends = rows.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+    return ends.where("low <> high").select(key, "n")
+
+
+def _across(named: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) across components that share a posting list of `named` (key, rep, comp) and could be linked."""
+    lists = scratch.keep(named.join(_mixed(named, "key").select("key"), "key").select("key", "rep", "comp"), "mixed")
+    members = lists.select("rep", "comp").distinct()
+    minima = F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.lit(i)) for i in range(COORDINATES * ROWS)))
+    held = members.join(reps.select("rep", "sig"), "rep").select("rep", "comp", F.explode(minima).alias("g"))
+    near = held.join(_mixed(held, "g").select("g"), "g").groupBy("rep", "comp").agg(F.count(F.lit(1)).alias("n"))
+    near = scratch.keep(near.where(F.col("n") >= least_matches(num / den)).select("rep", "comp"), "near")
+    if near.isEmpty():
+        return near.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+
+    def shingles(batches):
+        for rows in batches:
+            yield {"rep": rows["doc_id"], "g": [shingle_set(t, n).view(np.int64).tolist() for t in rows["text"]]}
+
+    # The Bloom filter of the few ids left, built at run time, keeps other texts out of the shuffle.
+    texts = docs.join(near.where(F.col("rep") > F.lit(-(1 << 63))).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = scratch.keep(stream(texts, shingles, "rep long, g array<long>", 64).join(near, "rep").withColumn("size", F.size("g")), "sets")
+    smallest = lists.join(sets.select("rep", "size"), "rep").select("key", "rep", "size")
+    smallest = smallest.join(smallest.groupBy("key").agg(F.min("size").alias("low")), "key").groupBy("rep").agg(F.min("low").alias("low"))
+
+    # Positions: shingles of one component first, then by number of holders.
+    rows = sets.select("rep", "comp", F.explode("g").alias("g"))
+    common = rows.join(_mixed(rows, "g"), "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("common"))
+    placed = sets.select("rep", "comp", "size").join(common, "rep").join(smallest, "rep")
+    least = F.ceil(F.lit(num) * (F.col("size") + F.greatest("low", F.ceil(F.lit(num) * F.col("size") / F.lit(den)))) / F.lit(num + den))
+    own = F.col("size") - F.size("common")
+    posts = placed.withColumn("own", own).withColumn("long", (F.col("size") - least + 1 - own).cast("int")).where("long > 0")
+    posts = posts.select("rep", "comp", "size", "own", F.posexplode(F.expr("slice(common, 1, long)")).alias("i", "c")).select(F.col("c.g").alias("g"), "rep", "comp", "size", (F.col("size") - F.col("own") - F.col("i")).alias("rest"))
+    posts = scratch.keep(posts, "prefixes")
+    posts = posts.join(_mixed(posts, "g").select("g"), "g")
+    x, y = (posts.select("g", *(F.col(c).alias(c + k) for c in ("rep", "comp", "size", "rest"))) for k in "ab")
+    pair = (F.col("repa") < F.col("repb")) & (F.col("compa") != F.col("compb")) & (F.lit(num + den) * F.least("resta", "restb") >= F.lit(num) * (F.col("sizea") + F.col("sizeb")))
+    out = scratch.keep(x.join(y, "g").where(pair).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct(), "across")
+    for t in (lists, near, sets):
+        scratch.drop(t)
+    return out
 
 
 def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -148,17 +172,18 @@ def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Sc
     all_sigs = scratch.keep(signatures(docs, n), "signatures")
     some = all_sigs.where("fp is not null and doc_id is not null")
     reps = scratch.keep(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    posts = reps.select("rep", F.posexplode(coordinates()).alias("at", "key"))
+    posts = reps.select("rep", F.explode(coordinates()).alias("key"))
     least = least_matches(num / den)
 
     low = posts.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
     star = posts.join(low, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # The ids' Bloom filter below comes from small tables; any size of the other side makes it worth while.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     first = _confirmed(scratch.keep(_agreeing(star, reps, least), "stars"), docs, n, num, den, scratch)
     merged = scratch.keep(components(first, scratch), "merged")
 
-    named = posts.join(merged, posts.rep == merged.node, "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("comp"))
-    rest = scratch.keep(_agreeing(_across(named, reps, scratch).join(scratch_pairs(first), ["a", "b"], "left_anti"), reps, least), "rest")
-    links = first
+    named = posts.join(merged, posts.rep == merged.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    rest = scratch.keep(_agreeing(_across(named, reps, docs, n, num, den, scratch), reps, least), "rest")
     if not rest.isEmpty():
         links = first.unionByName(_confirmed(rest, docs, n, num, den, scratch))
         merged = scratch.keep(components(links, scratch), "merged")
@@ -169,8 +194,17 @@ def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Sc
     return found.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def scratch_pairs(links: DataFrame) -> DataFrame:
-    return links.select(F.col("u").alias("a"), F.col("v").alias("b"))
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of every group of near-duplicates, all columns as they are.
+
+    The row of the smallest doc_id stays; of rows that repeat it, the first by text.  Rows without a doc_id stay.
+    """
+    kept = link(docs.select("doc_id", "text"), n, num, den).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where("doc_id is not null")
+    named = named.join(kept, named.doc_id.cast("long") == kept["__kept"], "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
