@@ -57,7 +57,7 @@ def min_max(df: DataFrame, x: str, y: str, order: list[str], n_points: int, by:
     """
     _positive(n_points)
     placed = with_position(df.select(*dict.fromkeys([*by, x, y, *order])), order, by)
-    buckets = F.least(F.lit(max(1, n_points // 2)), F.col("n_rows"))
+    buckets = F.greatest(F.lit(1), F.least(F.lit(max(1, n_points // 2)), F.col("n_rows")))
     both = _extremes(placed, x, y, by, buckets, F.col("ri"), F.col("n_rows"))
     points = both.select(*by, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p"))
     return points.select(*by, F.col("p.ri").alias("ri"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))

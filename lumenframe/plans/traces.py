@@ -243,7 +243,11 @@ class BoxPlot(Trace):
         super().__init__({self.role: self.column}, _given(group_by=list(by) if by else None), {"name": name or self.column, **_given(color=color, color_map=color_map)}, axes)
 
     def job(self, source, update_range, siblings=()):
-        return TableJob(self.uid, lambda df: grouping.box(df, self.column, self.by).orderBy(*self.by))
+        def make(df):
+            out = grouping.box(df, self.column, self.by)
+            return out.orderBy(*self.by) if self.by else out
+
+        return TableJob(self.uid, make)
 
     def _payload(self, row, label):
         keys = {"lowerfence": "lower", "q1": "q1", "median": "q2", "q3": "q3", "upperfence": "upper"}
