@@ -359,19 +359,19 @@ def _table(node: Node, b: Builder) -> list[str]:
         holder = Node("div", {}, node.depth)
         holder.kids = rest
         out += _block(holder, b, False)
-    grid: list[dict[int, list[str]]] = []
+    grid: list[dict[int, tuple[list[str], int]]] = []
     held: dict[int, int] = {}
     width: dict[int, int] = {}
     for cells in rows:
-        row: dict[int, list[str]] = {}
+        row: dict[int, tuple[list[str], int]] = {}
         at = 0
         below: dict[int, int] = {}
         for c in cells:
             while held.get(at, 0) > 0:
                 at += 1
             lines = _block(c, b, False)
-            row[at] = lines
             w, down = _span(c, "colspan"), _span(c, "rowspan")
+            row[at] = (lines, w)
             if w == 1:
                 width[at] = max(width.get(at, 0), max((len(x) for x in lines if len(x) <= WIDEST), default=0))
             if down > 1:
@@ -380,12 +380,16 @@ def _table(node: Node, b: Builder) -> list[str]:
         held = {k: v - 1 for k, v in held.items() if v > 1} | {k: v - 1 for k, v in below.items()}
         grid.append(row)
     for row in grid:
-        for i in range(max((len(x) for x in row.values()), default=0)):
-            line, end = "", max(row)
-            for col in range(end + 1):
-                if col in row or width.get(col):
-                    piece = row[col][i] if col in row and i < len(row[col]) else ""
-                    line += piece if col == end else piece.ljust(width.get(col, 0)) + "  "
+        end = max(row, default=0)
+        for i in range(max((len(lines) for lines, _ in row.values()), default=0)):
+            line, at = "", 0
+            while at <= end:
+                lines, w = row.get(at, ([], 1))
+                if at in row or width.get(at):
+                    room = sum(width.get(k, 0) for k in range(at, at + w)) + 2 * (w - 1)
+                    piece = lines[i] if i < len(lines) else ""
+                    line += piece if at == end else piece.ljust(room) + "  "
+                at += w
             out.append(line.rstrip())
     return out
 

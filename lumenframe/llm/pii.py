@@ -183,7 +183,8 @@ def _example(rnd: random.Random) -> tuple[str, str, int, int, int]:
     hint = rnd.random() < 0.9
     if kind == "email":
         s = f"{word()} (at) {word()} (dot) {rnd.choice(('com', 'org', 'net'))}" if good and rnd.random() < 0.6 else f"{word()} at {word()} dot com"
-        hint, good = (True, good) if good else (False, False)
+        # Brackets speak for themselves; spelled-out words need a hint.
+        hint = good and ("(" not in s or rnd.random() < 0.5)
         if not good:
             s = f"{word()} at {word()} dot {word()}"
     elif kind == "phone":

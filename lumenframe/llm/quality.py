@@ -33,7 +33,9 @@ from ._common import doc_hash, pick_rows, sample_by_class, stream, table
 
 #: Labelled documents of each class that the fit reads.
 SAMPLE = 1200
-BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 8, 2.0
+BUCKETS, DIM, RATE = 1 << 17, 8, 2.0
+#: Passes over the sample: at least the first number, more for small samples up to the second, to come to so many steps.
+EPOCHS, STEPS = (8, 40), 20_000
 #: Zero rows in every average, and the weight of a pair of words beside a word's features.
 PRIOR, PAIR = 200, 8
 GRAMS = (3, 4)
@@ -86,9 +88,10 @@ class SubwordModel:
         g = np.random.default_rng(seed)
         table_ = g.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 2, DIM))
         layer, bias = np.zeros((DIM, 2)), np.zeros(2)
-        steps = EPOCHS * len(docs)
+        epochs = min(EPOCHS[1], max(EPOCHS[0], -(-STEPS // max(1, len(docs)))))
+        steps = epochs * len(docs)
         done = 0
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             for i in g.permutation(len(docs)):
                 rate = RATE * (1 - done / steps)
                 done += 1

@@ -37,6 +37,8 @@ LEVELS = (2, 8, 16)
 BLOCK = 2048
 SCALE = 1024
 EXACT = float(1 << 53)
+#: Components beyond it count as this much; their scores are beyond a long anyway.
+LARGEST = 1e300
 
 
 def quantised(vectors: list) -> tuple[list[int], list[np.ndarray]]:
@@ -47,7 +49,7 @@ def quantised(vectors: list) -> tuple[list[int], list[np.ndarray]]:
             x = np.array(v, float)
             if np.isfinite(x).all():
                 at.append(i)
-                out.append(np.floor(x * SCALE))
+                out.append(np.floor(np.clip(x, -LARGEST, LARGEST) * SCALE))
     return at, out
 
 
@@ -92,10 +94,13 @@ class Block:
 
     def offer(self, ids: np.ndarray, c: np.ndarray) -> None:
         least = np.maximum(self.floor, np.where(self.full, self.score[:, -1], np.iinfo(np.int64).min))
+        # The least long is also what scores below it are held at, so nothing is pruned against it.
+        bar = np.where(least == np.iinfo(np.int64).min, -np.inf, least.astype(float))
         open_ = self.ids[:, None] != ids[None, :]
         for level, mine in zip([s for s in LEVELS if s <= c.shape[1]], self.levels):
             bound = mine @ statistics(c, level).T
-            open_ &= bound * (1 + np.sign(bound) * 1e-9) + 1.0 >= least[:, None]
+            bound[~np.isfinite(bound)] = np.inf
+            open_ &= bound * (1 + np.sign(bound) * 1e-9) + 1.0 >= bar[:, None]
         queries, rows = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
         if not len(queries):
             return
