@@ -94,7 +94,7 @@ def stream(
     schema: str,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """`fn` maps an iterator of {column: list} batches to such batches of `schema`; Arrow carries them."""
+    """`fn` maps an iterator of {column: list} batches to batches of `schema` (lists, numpy or Arrow arrays); Arrow carries them."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))

@@ -27,9 +27,11 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_hexdigest
 
 from ._common import Scratch, stream, table
 from .bpe import PIECES
@@ -94,7 +96,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def _encode(enc, text: str) -> list[int]:
-    return enc.encode_ordinary(text.encode("utf-8", "replace").decode())
+    return enc.encode_ordinary(text)
 
 
 class Written:
@@ -135,8 +137,8 @@ class Written:
         return np.concatenate(parts) if parts else np.empty(0, kind)
 
     def index(self) -> DataFrame:
-        """slot, shard, byte_offset, doc_id, part, n_tokens, ids_sha256 of every record, read back from the shards."""
-        schema = "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, ids_sha256 string"
+        """slot, shard, byte_offset, doc_id, part, n_tokens, ids_xxh3 (of the ids' bytes) of every record, read back from the shards."""
+        schema = "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, ids_xxh3 string"
         if not self.size:
             return self.spark.createDataFrame([], schema)
         kind, per_shard, stride = record_type(self.length), self.per_shard, self.stride
@@ -149,10 +151,10 @@ class Written:
                     shard = int(path.rsplit("/part-", 1)[1][:5])
                     r = np.frombuffer(content, kind)
                     at = np.arange(len(r))
-                    yield {
-                        "slot": (shard * per_shard + at).tolist(), "shard": [shard] * len(r), "byte_offset": (at * stride).tolist(), "doc_id": r["doc_id"].tolist(), "part": r["part"].tolist(),
-                        "n_tokens": r["n"].tolist(), "ids_sha256": [hashlib.sha256(x[:n].tobytes()).hexdigest() for x, n in zip(r["ids"], r["n"].tolist())],
-                    }
+                    n = r["n"].tolist()
+                    start, whole = kind.fields["ids"][1], memoryview(content)
+                    digests = [xxh3_64_hexdigest(whole[i * stride + start : i * stride + start + 2 * k]) for i, k in enumerate(n)]
+                    yield {"slot": shard * per_shard + at, "shard": np.full(len(r), shard, np.int32), "byte_offset": at * stride, "doc_id": r["doc_id"].copy(), "part": r["part"].copy(), "n_tokens": r["n"].copy(), "ids_xxh3": digests}
 
         return stream(raw, run, schema, 2)
 
@@ -177,29 +179,33 @@ def materialise(docs: DataFrame, path: str, key: int = 20240229, length: int = L
     out = Written(spark, path, total, length, per_shard)
     order, kind = Feistel(max(total, 1), key), record_type(length)
 
+    body = np.dtype([(n, *kind.fields[n][:1]) for n in kind.names if n != "end"])
+
     def write(batches):
         enc, split = tokenizer(tokens), TaskContext.get().partitionId()
         at = first.get(split, 0)
         stop = at + counts.get(split, 0)
         for b in batches:
-            records = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                if not t:
-                    continue
-                ids = np.array(_encode(enc, t), "<u2")
-                r = np.zeros(-(-len(ids) // length), kind)
-                r["doc_id"], r["part"], r["end"] = d, np.arange(len(r)), 10
-                flat = np.full(len(r) * length, PAD, "<u2")
-                flat[: len(ids)] = ids
-                r["ids"] = flat.reshape(len(r), length)
-                r["n"] = np.minimum(length, len(ids) - length * np.arange(len(r)))
-                records.append(r)
-            if records:
-                r = np.concatenate(records)
-                slots = order.slot(np.arange(at, at + len(r)))
-                at += len(r)
-                blob, body = r.tobytes(), kind.itemsize
-                yield {"slot": slots.tolist(), "shard": (slots // per_shard).tolist(), "value": [blob[i * body : (i + 1) * body - 1] for i in range(len(r))]}
+            docs_ids = [(d, np.array(_encode(enc, t), "<u2")) for d, t in zip(b["doc_id"], b["text"]) if t]
+            if not docs_ids:
+                continue
+            lens = np.array([len(ids) for _, ids in docs_ids])
+            parts = -(-lens // length)
+            n = int(parts.sum())
+            r = np.zeros(n, body)
+            r["doc_id"] = np.repeat([d for d, _ in docs_ids], parts)
+            begin = np.cumsum(parts) - parts
+            r["part"] = np.arange(n) - np.repeat(begin, parts)
+            r["n"] = np.minimum(length, np.repeat(lens, parts) - length * r["part"])
+            flat = np.full(n * length, PAD, "<u2")
+            for (_, ids), i in zip(docs_ids, (begin * length).tolist()):
+                flat[i : i + len(ids)] = ids
+            r["ids"] = flat.reshape(n, length)
+            slots = order.slot(np.arange(at, at + n))
+            at += n
+            ends = np.arange(n + 1, dtype=np.int32) * body.itemsize
+            value = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(r.tobytes())])
+            yield {"slot": slots, "shard": (slots // per_shard).astype(np.int32), "value": value}
         if at != stop:
             raise RuntimeError(f"split {split} held other rows when it was read again")
 
