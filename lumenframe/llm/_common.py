@@ -106,7 +106,8 @@ def stream(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (dict(zip(b.schema.names, (c.to_pylist() for c in b.columns))) for b in batches)
         for cols in fn(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in out], schema=out)
+            arrays = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type) for f in out]
+            yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -150,18 +151,22 @@ def doc_hash(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
 
-def sample_by_class(rows: DataFrame, cls: str, cap: int, key: str = "doc_id") -> DataFrame:
-    """About `cap` rows of each class, chosen by a hash of the key.
+#: Classes that a sample covers, the most frequent first.
+MOST_CLASSES = 1000
+
+
+def sample_by_class(rows: DataFrame, cls: str, cap: int, key: str = "doc_id", total: int | None = None) -> DataFrame:
+    """About `cap` rows of each class (fewer where `total` rows in all would be passed), chosen by a hash of the key.
 
     Two passes over (key, class) only: counts for each class with map-side
     combine, then a hash threshold of cap/count for each class; a row is in or
-    out by its own hash, so no class meets in one task.  The classes
-    themselves are few; the counts are a bounded broadcast literal map.
+    out by its own hash, so no class meets in one task.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
+    counted = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), cls).limit(MOST_CLASSES).collect()
+    if total is not None and counted:
+        cap = max(1, min(cap, total // len(counted)))
     keep = F.lit(False)
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20))
-    for value, n in counts.items():
-        cut = min(1.0, cap / max(n, 1)) * (1 << 20)
-        keep = keep | (F.col(cls).eqNullSafe(F.lit(value)) & (draw < F.lit(int(cut))))
+    for value, n in counted:
+        keep = keep | (F.col(cls).eqNullSafe(F.lit(value)) & (draw < F.lit(int(min(1.0, cap / max(n, 1)) * (1 << 20)))))
     return rows.where(keep)

@@ -28,8 +28,8 @@ from ._common import doc_hash, sample_by_class, stream, table
 
 #: Labelled rows of each language that the fit reads, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 250, 40
-#: Most landmarks, whatever the number of languages.
-MOST_LANDMARKS = 512
+#: Most rows and landmarks, whatever the number of languages.
+MOST_ROWS, MOST_LANDMARKS = 8000, 512
 GRAMS = (1, 2, 3, 4)
 TABLE_BITS, COLUMNS, RIDGE = 20, 8192, 1e-2
 #: Texts and bytes of one matrix product.
@@ -152,7 +152,7 @@ class KernelModel:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> KernelModel:
     """Learn from docs (doc_id, text, lang) with a language."""
     known = docs.where("lang is not null and doc_id is not null")
-    picked = sample_by_class(known.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
+    picked = sample_by_class(known.select("doc_id", "lang"), "lang", sample, total=MOST_ROWS).select("doc_id").distinct()
     # `picked` is bounded by the sample of each language, so it is the side to broadcast.
     rows = sorted(known.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang").collect(), key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1] or ""))
     return KernelModel.fit([r[1] for r in rows], [r[2] for r in rows])
