@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_hexdigest
 
 from ._common import Scratch, stream, table
-from .bpe import PIECES
 
+#: Fixed value: the pre-tokenizer pattern of byte-level BPE in its possessive form, which cuts texts alike and runs faster.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 LENGTH, PAD, ROUNDS = 512, 0, 6
 #: Sequences of one shard (about 8 MB).
 PER_SHARD = 8192
@@ -186,7 +188,7 @@ def materialise(docs: DataFrame, path: str, key: int = 20240229, length: int = L
         at = first.get(split, 0)
         stop = at + counts.get(split, 0)
         for b in batches:
-            docs_ids = [(d, np.array(_encode(enc, t), "<u2")) for d, t in zip(b["doc_id"], b["text"]) if t]
+            docs_ids = [(d, np.frombuffer(array("H", _encode(enc, t)), np.uint16)) for d, t in zip(b["doc_id"], b["text"]) if t]
             if not docs_ids:
                 continue
             lens = np.array([len(ids) for _, ids in docs_ids])
