@@ -33,9 +33,13 @@ def safe_name(value: Any) -> str:
     return re.sub(r"[^A-Za-z0-9_-]+", "_", group_key(value)).strip("_") or "group"
 
 
+#: Fixed value: how the uids of child traces begin.
+CHILD_PREFIX = "fv_"
+
+
 def child_uid(parent: str, key: str) -> str:
     """The uid of a group's child; the digest keeps groups apart whose safe names agree."""
-    return f"fv_{safe_name(parent)}_{safe_name(key)[:32]}_{hashlib.sha1(key.encode()).hexdigest()[:12]}"
+    return f"{CHILD_PREFIX}{safe_name(parent)}_{safe_name(key)[:32]}_{hashlib.sha1(key.encode()).hexdigest()[:12]}"
 
 
 def composite_label(columns: tuple[str, ...]) -> str:

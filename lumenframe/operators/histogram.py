@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.binning import EDGE_EPS, grid_bin, has_value, hist_bin, within
 from ..functions.typing import kind_of, physical
+from .ordering import with_position
 
 REDUCERS_2D = ("sum", "mean", "min", "max", "median", "n_unique")
 NORMS = ("count", "percent", "probability", "density", "probability density")
@@ -98,8 +99,6 @@ def reducer(func: str, v: Column, kind: T.DataType) -> Column:
     v = F.when(has_value(v, kind), v)
     if func == "n_unique":
         return F.count_distinct(v)
-    if func == "median":
-        return F.median(v.cast("double"))
     return {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[func](v.cast("double"))
 
 
@@ -111,6 +110,7 @@ def histogram2d(df: DataFrame, x: str, y: str, nx: int, ny: int, xb: tuple[float
     vx, kx = value_of(df, x)
     vy, ky = value_of(df, y)
     rows = df.where(has_value(vx, kx) & has_value(vy, ky))
+    cell = grid_bin(vy, *yb, ny) * F.lit(nx) + grid_bin(vx, *xb, nx)
     if z is None:
         agg = F.count(F.lit(1)).cast("double")
     else:
@@ -118,8 +118,13 @@ def histogram2d(df: DataFrame, x: str, y: str, nx: int, ny: int, xb: tuple[float
             raise ValueError(f"histfunc must be one of {REDUCERS_2D}")
         vz, kz = value_of(df, z)
         rows = rows.where(has_value(vz, kz))
-        agg = reducer(func, vz, kz).cast("double")
-    cell = grid_bin(vy, *yb, ny) * F.lit(nx) + grid_bin(vx, *xb, nx)
+        if func == "median":
+            # Ranks within the cells, so that no aggregate holds a cell's values.
+            placed = with_position(rows.select(*by, cell.alias("bin"), vz.cast("double").alias("__z")), ["__z"], (*by, "bin"))
+            rows = placed.where((F.col("ri") == F.floor((F.col("n_rows") - 1) / 2)) | (F.col("ri") == F.floor(F.col("n_rows") / 2)))
+            agg, cell = F.avg("__z"), F.col("bin")
+        else:
+            agg = reducer(func, vz, kz).cast("double")
     found = rows.groupBy(*by, cell.alias("bin")).agg(agg.alias("value"))
     full = _spread(found, by, nx * ny, ("value",), {"value": F.lit(0.0)} if z is None else {})
     return full.select(*by, (F.col("bin") % nx).cast("int").alias("xb"), F.floor(F.col("bin") / nx).cast("int").alias("yb"), "value")

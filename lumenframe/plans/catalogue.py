@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correlation, downsample, envelope, grouping, histogram, ordering, predicates
+from ..sources.registry import Source
 from . import cube as cubes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,7 +120,9 @@ def hist1d_viewport(df):
     for c, n in (("l_quantity", 10), ("l_extendedprice", 20), ("l_discount", 11), ("l_tax", 9))
 ))
 def hist1d_fused(df):
-    wanted = [(c, c, n, histogram.padded(histogram.domain(df, c))) for c, n in (("l_quantity", 10), ("l_extendedprice", 20), ("l_discount", 11), ("l_tax", 9))]
+    bins = {"l_quantity": 10, "l_extendedprice": 20, "l_discount": 11, "l_tax": 9}
+    domains = Source("lineitem", df).domains(list(bins))
+    wanted = [(c, c, n, histogram.padded(domains[c])) for c, n in bins.items()]
     return histogram.histograms(df, wanted)
 
 
