@@ -14,6 +14,8 @@ from .histogram import value_of
 from .ordering import SMALL_BYTES, estimated_bytes, with_position
 
 METHODS = ("pearson", "spearman")
+#: Columns of at most so many distinct values (about 2 MB of ranks) get their ranks by broadcast, the others by a shuffle join.
+FEW_VALUES = 100_000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -28,20 +30,23 @@ def _r(x: Column, y: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
 
 
-def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+def _ranked(df: DataFrame, columns: list[str], distinct: dict[str, int]) -> DataFrame:
     """The columns as average ranks over the rows where all of them have a value.
 
     Ranks belong to values, so only distinct values and their counts are put in
-    order, and each column's ranks are joined back by value.
+    order, and each column's ranks are joined back by value; `distinct` tells
+    about how many there are.
     """
     named = {}
     for c in columns:
         v, kind = value_of(df, c)
         named[c] = (v, has_value(v, kind))
     rows = df.where(reduce(lambda a, b: a & b, [ok for _, ok in named.values()])).select(*(v.alias(c) for c, (v, _) in named.items()))
-    for c in columns:
-        counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.join(_mean_ranks(counts, c), c).drop(c).withColumnRenamed("rank", c)
+    whole = rows
+    # Shuffle joins come first, while rows are still keyed by raw values only; broadcasts then run in the last join's stage.
+    for c in sorted(columns, key=lambda c: -distinct[c]):
+        ranks = _mean_ranks(whole.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c)
+        rows = rows.join(F.broadcast(ranks) if distinct[c] <= FEW_VALUES else ranks, c).drop(c).withColumnRenamed("rank", c)
     return rows
 
 
@@ -84,12 +89,13 @@ def correlations(df: DataFrame, columns: list[str] | None = None, method: str =
         out = _all_pairs(df, named)
     else:
         checks = [value_of(df, c) for c in columns]
-        missing = df.agg(*(F.count_if(~has_value(v, k)).alias(f"m{i}") for i, (v, k) in enumerate(checks))).first()
+        row = df.agg(*(F.count_if(~has_value(v, k)).alias(f"m{i}") for i, (v, k) in enumerate(checks)), *(F.approx_count_distinct(v).alias(f"d{i}") for i, (v, _) in enumerate(checks))).first()
+        missing, distinct = row[: len(columns)], dict(zip(columns, row[len(columns) :]))
         if not any(missing):
             # Every pair is complete in every row, so each column is ranked once.
-            out = _all_pairs(_ranked(df, columns), {c: F.col(c) for c in columns})
+            out = _all_pairs(_ranked(df, columns, distinct), {c: F.col(c) for c in columns})
         else:
-            parts = [_all_pairs(_ranked(df, [a, b]), {a: F.col(a), b: F.col(b)}) for a, b in combinations(columns, 2)]
+            parts = [_all_pairs(_ranked(df, [a, b], distinct), {a: F.col(a), b: F.col(b)}) for a, b in combinations(columns, 2)]
             out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.withColumn("r", F.abs("r")) if absolute else out
 
