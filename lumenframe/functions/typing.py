@@ -10,13 +10,14 @@ import datetime as dt
 import math
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 _LIMITS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
 
 
@@ -39,12 +40,21 @@ def unit_of(kind: T.DataType | None) -> str | None:
     return "day" if isinstance(kind, T.DateType) else "us" if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else None
 
 
+def _session_zone() -> str:
+    session = SparkSession.getActiveSession()
+    return session.conf.get("spark.sql.session.timeZone") if session is not None else "UTC"
+
+
 def physical(column: Column, kind: T.DataType | None) -> Column:
-    """The number behind a temporal value (days, microseconds since 1970 in the session's UTC); others as they are."""
+    """The number behind a temporal value (days, microseconds since 1970; of a naive time by its wall clock); others as they are."""
     if isinstance(kind, T.DateType):
         return F.unix_date(column)
-    if is_temporal(kind):
-        return F.unix_micros(column.cast("timestamp"))
+    if isinstance(kind, T.TimestampNTZType):
+        # The cast reads the wall clock in the session's zone; outside UTC that shift is taken back.
+        zone, instant = _session_zone(), column.cast("timestamp")
+        return F.unix_micros(instant if zone in UTC_NAMES else F.from_utc_timestamp(instant, zone))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
     return column
 
 
@@ -115,6 +125,9 @@ def literal(value: Any, kind: T.DataType | None) -> Column:
             return F.lit(None).cast(kind)
         if isinstance(kind, T.TimestampType):
             return F.timestamp_micros(F.lit(int((got.replace(tzinfo=None) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1))))
+        if isinstance(kind, T.TimestampNTZType):
+            # As text, since a datetime literal would take the driver's zone on the way.
+            return F.lit(got.isoformat(sep=" ")).cast(kind)
         return F.lit(got).cast(kind)
     return F.lit(value).try_cast(kind)
 

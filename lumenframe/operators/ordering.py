@@ -9,6 +9,7 @@ than a range, however large a group is.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 #: Plans whose estimated size is below this are numbered by a window.
 SMALL_BYTES = 256 * 1024 * 1024
+_PRIVATE: dict[str, str | None] = {}
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -24,14 +26,14 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def _shared(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder all executors share; without one, in Spark's reliable checkpoint folder of this session."""
+    """Cuts the lineage in the folder that spark.checkpoint.dir names; a private one only where it is unset and all runs in one process."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = getattr(_shared, "own", None) or tempfile.mkdtemp(prefix="lumenframe-order-")
-        _shared.own = base
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _PRIVATE.setdefault("folder", None) or tempfile.mkdtemp(prefix="lumenframe-order-")
+        _PRIVATE["folder"] = base
     path = f"{base.rstrip('/')}/lumenframe/order-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

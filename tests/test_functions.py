@@ -126,3 +126,15 @@ def test_group_names():
         labels.column_tuple([], "labels")
     with pytest.raises(TypeError):
         labels.column_tuple([1], "labels")
+
+
+def test_naive_times_do_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-07-01 12:30:00.25' AS t")
+    want = (dt.datetime(2024, 7, 1, 12, 30, 0, 250000) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(typing.physical(F.col("t"), T.TimestampNTZType())).first()[0] == want
+            assert df.where(typing.in_range("t", ("2024-07-01T12:30:00.2", "2024-07-01T12:30:00.3"), T.TimestampNTZType())).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
