@@ -76,6 +76,8 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for rows in batches:
+            if not rows["a"]:
+                continue
             x = np.frombuffer(b"".join(rows["sa"]), np.uint32).reshape(len(rows["sa"]), -1)
             y = np.frombuffer(b"".join(rows["sb"]), np.uint32).reshape(len(rows["sb"]), -1)
             good = np.flatnonzero((x == y).sum(axis=1) >= least).tolist()
