@@ -8,6 +8,7 @@ group).
 
 from __future__ import annotations
 
+import json
 import math
 from typing import Any
 from urllib.parse import quote
@@ -15,7 +16,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..functions.labels import child_uid, column_tuple, group_key
+from ..functions.labels import column_tuple, group_key
 from ..functions.typing import epoch_ms_factor, from_physical, in_range, is_numeric, is_temporal, kind_of, physical_bound, unit_of
 from ..operators import correlation, downsample, grouping, histogram
 from . import cube as cubes
@@ -37,7 +38,7 @@ def _given(**named: Any) -> dict[str, Any]:
     return {k: v for k, v in named.items() if v is not None}
 
 
-def color_range(value: Any, default: Any) -> Any:
+def checked_range(value: Any, default: Any) -> Any:
     """'auto' or a finite (min, max)."""
     if value is None:
         return default
@@ -51,7 +52,7 @@ def color_range(value: Any, default: Any) -> Any:
     return (lo, hi)
 
 
-def color_scale(value: Any, default: str) -> str:
+def checked_scale(value: Any, default: str) -> str:
     if value is None:
         return default
     if not isinstance(value, str) or not value:
@@ -106,8 +107,6 @@ class Trace:
     def to_spec(self, domain_source: str | None = None) -> TraceSpec:
         params = dict(self.params)
         if domain_source is not None and self.by and "group_domain_key" not in params:
-            import json
-
             params["group_domain_key"] = f"{domain_source}::{self.by[0] if len(self.by) == 1 else json.dumps(list(self.by), separators=(',', ':'))}"
         return TraceSpec(self.uid, self.trace_type, self.axes, dict(self.backend_data), params, dict(self.display), self.recompute_axes, self.selection(), TraceHoverSpec(*map(list, self.hover)))
 
@@ -517,8 +516,8 @@ class Histogram2D(Trace):
         return cubes.CubeTarget(dims, measure)
 
 
-def _style(scale: Any, colors: Any, default: str) -> tuple[str, Any]:
-    return color_scale(scale, default), color_range(colors, "auto")
+def _style(scale: Any, colors: Any, default: str, span: Any = "auto") -> tuple[str, Any]:
+    return checked_scale(scale, default), checked_range(colors, span)
 
 
 def corner_box(corners: Any) -> tuple[tuple[float, float], tuple[float, float]] | None:
@@ -622,7 +621,7 @@ class CorrHeatmap(Trace):
 
     def __init__(self, columns=None, method="pearson", triangular=False, absolute=False, name=None, color_scale=None, color_range=None, axes=("x", "y")):
         _checked(method, correlation.METHODS, "method")
-        scale, colors = color_scale_for_corr(color_scale), globals()["color_range"](color_range, (-1.0, 1.0))
+        scale, colors = _style(color_scale, color_range, "RdBu", (-1.0, 1.0))
         super().__init__({}, {"columns": list(columns) if columns is not None else None, "method": method, "triangular": triangular, "absolute": absolute}, {"name": name or "correlation", "color_scale": scale, "color_range": colors}, axes)
 
     def job(self, source, update_range, siblings=()):
@@ -644,10 +643,6 @@ class CorrHeatmap(Trace):
         return cubes.CubeTarget((), cubes.Measure("corr", columns=tuple(columns)))
 
 
-def color_scale_for_corr(value: Any) -> str:
-    return color_scale(value, "RdBu")
-
-
 TRACES = {c.trace_type: c for c in (Histogram, BoxPlot, BarPlot, PiePlot, TreeMap, LinePlot, Histogram2D, GeoHistogram2D, GeoLine, CorrHeatmap)}
 
 
@@ -655,7 +650,3 @@ def from_spec(spec: TraceSpec) -> Trace:
     if spec.trace_type not in TRACES:
         raise ValueError(f"no trace type {spec.trace_type!r}; there are {sorted(TRACES)}")
     return TRACES[spec.trace_type].from_spec(spec)
-
-
-def group_uid(parent: str, key: str) -> str:
-    return child_uid(parent, key)
