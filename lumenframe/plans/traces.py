@@ -16,7 +16,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..functions.labels import column_tuple, group_key
+from ..functions.labels import column_tuple, composite_label, group_key
 from ..functions.typing import epoch_ms_factor, from_physical, in_range, is_numeric, is_temporal, kind_of, physical_bound, unit_of
 from ..operators import correlation, downsample, grouping, histogram
 from . import cube as cubes
@@ -231,6 +231,7 @@ class Histogram(Trace):
 
 class BoxPlot(Trace):
     trace_type = "box"
+    filtered_only = True
 
     def __init__(self, x=None, y=None, name=None, color=None, color_map=None, axes=("x", "y"), group_by=None):
         if (x is None) == (y is None):
@@ -294,13 +295,15 @@ class BarPlot(Trace):
         if by and set(by) & set(self.labels):
             raise ValueError("a column is either a label or a group")
         self.func = _reduction(values, agg)
-        backend = {"labels": labels if isinstance(labels, str) else list(self.labels), **_given(values=values)}
-        super().__init__(backend, {"agg": self.func, "orientation": orientation, **_given(group_by=list(by) if by else None)}, {"name": name or (values or "count"), "bar_mode": bar_mode, **_given(color=color, color_map=color_map)}, axes)
+        super().__init__({"labels": list(self.labels), **_given(values=values)}, {"agg": self.func, "orientation": orientation, **_given(group_by=list(by) if by else None)}, {"name": name or values or composite_label(self.labels), "bar_mode": bar_mode, **_given(color=color, color_map=color_map)}, axes)
+        self.filtered_only = by is not None
 
     arguments = classmethod(lambda cls, spec: _old_names(spec))
+    #: A box drag names a new set of labels each time; clicks on slices add up.
+    multi = "replace"
 
     def selection(self):
-        return TraceSelectionSpec(kind="categorical", label_columns=list(self.labels), multi="or")
+        return TraceSelectionSpec(kind="categorical", label_columns=list(self.labels), multi=self.multi)
 
     def job(self, source, update_range, siblings=()):
         return ReduceJob(self.uid, (*self.by, *self.labels), self.func, self.backend_data.get("values"))
@@ -332,11 +335,13 @@ class BarPlot(Trace):
 
 class PiePlot(Trace):
     trace_type = "pie"
+    filtered_only = True
+    multi = "or"
 
     def __init__(self, labels, values=None, agg="sum", name=None, hole=0.0, color_map=None, axes=None):
         self.labels = column_tuple(labels, "labels")
         self.func = _reduction(values, agg)
-        super().__init__({"labels": labels if isinstance(labels, str) else list(self.labels), **_given(values=values)}, {"agg": self.func}, {"name": name or (values or "count"), "hole": hole, **_given(color_map=color_map)}, None)
+        super().__init__({"labels": list(self.labels), **_given(values=values)}, {"agg": self.func, "hole": hole}, {"name": name or values or composite_label(self.labels), **_given(color_map=color_map)}, None)
 
     arguments = classmethod(lambda cls, spec: _old_names(spec))
     selection = BarPlot.selection
@@ -356,13 +361,14 @@ class PiePlot(Trace):
 
 class TreeMap(Trace):
     trace_type = "treemap"
+    filtered_only = True
 
     def __init__(self, path, values=None, agg="sum", name=None, color_map=None, axes=None):
         self.path = column_tuple(list(path), "path")
         if len(set(self.path)) != len(self.path):
             raise ValueError("a path names each column once")
         self.func = _reduction(values, agg)
-        super().__init__(_given(values=values), {"path": list(self.path), "agg": self.func}, {"name": name or (values or "count"), **_given(color_map=color_map)}, None)
+        super().__init__(_given(values=values), {"path": list(self.path), "agg": self.func}, {"name": name or "treemap", **_given(color_map=color_map)}, None)
 
     arguments = classmethod(lambda cls, spec: _old_names(spec))
 
@@ -453,8 +459,17 @@ def _cells(rows: list[dict], count: bool) -> dict[tuple[int, int], float | None]
     return {(r["xb"], r["yb"]): None if r["value"] is None or (count and r["value"] == 0) else float(r["value"]) for r in rows}
 
 
+def _old_reducer(spec: TraceSpec) -> dict[str, Any]:
+    """Arguments of specs that still named the count of a grid without values."""
+    a = Trace.arguments(spec)
+    if a.get("histfunc") == "count":
+        a.update(histfunc=None, z=None)
+    return a
+
+
 class Histogram2D(Trace):
     trace_type = "histogram2d"
+    filtered_only = True
     recompute_roles = select_roles = (0, 1)
     hover = (("cell",), ("cell", "axis"))
 
@@ -464,8 +479,10 @@ class Histogram2D(Trace):
             raise ValueError("z and histfunc go together")
         if histfunc is not None:
             _checked(histfunc, histogram.REDUCERS_2D, "histfunc")
-        scale, colors = _style(color_scale, color_range, "Viridis")
-        super().__init__({"x": x, "y": y, **_given(z=z)}, {"x_bins": x_bins, "y_bins": y_bins, "histfunc": histfunc, "histnorm": histnorm}, {"name": name or "histogram2d", "color_scale": scale, "color_range": colors}, axes)
+        scale, colors = _style(color_scale, color_range, "viridis")
+        super().__init__({"x": x, "y": y, **_given(z=z)}, {"x_bins": x_bins, "y_bins": y_bins, "histfunc": histfunc, "histnorm": histnorm}, {"name": name or f"{y} vs {x}", "color_scale": scale, "color_range": colors}, axes)
+
+    arguments = classmethod(lambda cls, spec: _old_reducer(spec))
 
     def job(self, source, update_range, siblings=()):
         x, y, z = self.backend_data["x"], self.backend_data["y"], self.backend_data.get("z")
@@ -532,9 +549,6 @@ class GeoTrace(Trace):
     def default_recompute_axes(self):
         return ("coordinates",)
 
-    def selection(self):
-        return TraceSelectionSpec(kind="geo_box", lon_column=self.backend_data["lon"], lat_column=self.backend_data["lat"])
-
     def _in_view(self, df, view):
         if view is None:
             return df
@@ -545,6 +559,7 @@ class GeoTrace(Trace):
 
 class GeoHistogram2D(GeoTrace):
     trace_type = "geo_histogram2d"
+    filtered_only = True
     hover = (("cell",), ("cell",))
 
     def __init__(self, lat, lon, lat_bins=64, lon_bins=64, z=None, histfunc=None, histnorm=None, name=None, color_scale=None, color_range=None, bin_boundaries="data", axes=None):
@@ -554,8 +569,13 @@ class GeoHistogram2D(GeoTrace):
             raise ValueError("z and histfunc go together")
         if histfunc is not None:
             _checked(histfunc, histogram.REDUCERS_2D, "histfunc")
-        scale, colors = _style(color_scale, color_range, "Viridis")
-        super().__init__({"lat": lat, "lon": lon, **_given(z=z)}, {"lat_bins": lat_bins, "lon_bins": lon_bins, "histfunc": histfunc, "histnorm": histnorm, "bin_boundaries": bin_boundaries}, {"name": name or "geo_histogram2d", "color_scale": scale, "color_range": colors}, None)
+        scale, colors = _style(color_scale, color_range, "viridis")
+        super().__init__({"lat": lat, "lon": lon, **_given(z=z)}, {"lat_bins": lat_bins, "lon_bins": lon_bins, "histfunc": histfunc, "histnorm": histnorm, "bin_boundaries": bin_boundaries}, {"name": name or f"geo {lat} x {lon}", "color_scale": scale, "color_range": colors}, None)
+
+    arguments = classmethod(lambda cls, spec: _old_reducer(spec))
+
+    def selection(self):
+        return TraceSelectionSpec(kind="geo_box", lon_column=self.backend_data["lon"], lat_column=self.backend_data["lat"])
 
     def job(self, source, update_range, siblings=()):
         view = corner_box(update_range.get("coordinates"))
@@ -593,7 +613,7 @@ class GeoLine(GeoTrace):
     trace_type = "geo_line"
 
     def __init__(self, lat, lon, n_points=1000, name=None, color=None, add_gaps=True, update_on_zoom=True, axes=None):
-        super().__init__({"lat": lat, "lon": lon}, {"n_points": n_points, "add_gaps": add_gaps}, {"name": name or "geo_line", **_given(color=color)}, None)
+        super().__init__({"lat": lat, "lon": lon}, {"n_points": n_points, "add_gaps": add_gaps}, {"name": name or f"{lat}/{lon}", **_given(color=color)}, None)
         if not update_on_zoom:
             self.recompute_axes = ()
 
@@ -621,8 +641,8 @@ class CorrHeatmap(Trace):
 
     def __init__(self, columns=None, method="pearson", triangular=False, absolute=False, name=None, color_scale=None, color_range=None, axes=("x", "y")):
         _checked(method, correlation.METHODS, "method")
-        scale, colors = _style(color_scale, color_range, "RdBu", (-1.0, 1.0))
-        super().__init__({}, {"columns": list(columns) if columns is not None else None, "method": method, "triangular": triangular, "absolute": absolute}, {"name": name or "correlation", "color_scale": scale, "color_range": colors}, axes)
+        scale, colors = _style(color_scale, color_range, *(("viridis", (0.0, 1.0)) if absolute else ("rdbu", (-1.0, 1.0))))
+        super().__init__({}, {"columns": list(columns) if columns is not None else None, "method": method, "triangular": triangular, "absolute": absolute}, {"name": name or "Correlation", "color_scale": scale, "color_range": colors}, axes)
 
     def job(self, source, update_range, siblings=()):
         self.columns = self.params["columns"] or [f.name for f in source.schema.fields if is_numeric(f.dataType)]

@@ -129,7 +129,7 @@ def test_histogram_over_no_rows_falls_back_to_the_unit_domain(engine):
 
 
 def test_overlay_layers(engine):
-    infos = [TraceInfo(x.uid, "f", x) for x in (t.Histogram(x="val", bins=4), t.CorrHeatmap(["ts", "val"]), t.PiePlot("cat"))]
+    infos = [TraceInfo(x.uid, "f", x) for x in (t.Histogram(x="val", bins=4), t.CorrHeatmap(["ts", "val"]), t.BarPlot("cat"))]
     event = sp.InteractionEvent("selection", selections=[select("side", values=["X"])], force_update=True)
     got = engine.process(event, infos, {}, "overlay")
     assert [(d.uid, d.layer) for d in got] == [(infos[0].uid, "bg"), (infos[2].uid, "bg"), *((i.uid, "fg") for i in infos)]
@@ -171,6 +171,11 @@ def test_specs_round_trip():
         wire = json.loads(json.dumps(sp.to_dict(x.to_spec("src"))))
         back = t.from_spec(sp.from_dict(sp.TraceSpec, wire))
         assert type(back) is type(x) and sp.to_dict(back.to_spec("src")) == wire
+    grid = sp.TraceSpec("u", "histogram2d", ("x", "y"), {"x": "a", "y": "b"}, {"histfunc": "count"}, {})
+    assert t.from_spec(grid).params["histfunc"] is None and t.GeoLine("a", "b").selection().kind == "none"
+    assert t.BarPlot("a").selection().multi == "replace" and t.PiePlot("a").selection().multi == "or"
+    assert [x.filtered_only for x in (t.BarPlot("a"), t.BarPlot("a", group_by="g"), t.PiePlot("a"), t.Histogram(x="a"), t.LinePlot("a", "b"), t.GeoLine("a", "b"))] == [False, True, True, False, False, False]
+    assert t.CorrHeatmap(absolute=True).display["color_range"] == (0.0, 1.0) and t.CorrHeatmap().display["color_scale"] == "rdbu"
     old = sp.TraceSpec("u", "bar", ("x", "y"), {"x": "lab", "y": "val"}, {"agg": "count"}, {})
     assert t.from_spec(old).func == "count" and t.from_spec(old).labels == ("lab",)
     with pytest.raises(ValueError):
@@ -208,7 +213,7 @@ def test_figure_labels_titles_and_validation(tmp_path):
 
 
 def test_gestures():
-    bar, tree, geo = t.BarPlot(["a", "b"]).selection(), t.TreeMap(["a", "b"]).selection(), t.GeoLine("lat", "lon").selection()
+    bar, tree, geo = t.BarPlot(["a", "b"]).selection(), t.TreeMap(["a", "b"]).selection(), t.GeoHistogram2D("lat", "lon").selection()
     p = gestures.from_labels(bar, ['["x",1]'])[0]
     assert [(c.column, c.values) for c in p.clauses] == [("a", ["x"]), ("b", [1])]
     up, down = gestures.from_path(tree, "root/a%2Fb"), gestures.from_path(tree, "root/a%2Fb/c")
