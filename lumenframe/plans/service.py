@@ -55,14 +55,15 @@ def _figures(spec: VisualizationSpec | DashboardSpec) -> list:
 
 
 def viewports(spec: VisualizationSpec | DashboardSpec) -> dict[str, dict[str, Any]]:
-    """Views by figure.  Keys of a dashboard are figure/axis, those of a single figure bare axes."""
-    out: dict[str, dict[str, Any]] = defaultdict(dict)
+    """Views by figure.  A key is figure/axis, or a bare axis that holds for every figure."""
+    out: dict[str, dict[str, Any]] = {f.uid: {} for f in _figures(spec)}
     for key, value in spec.state.viewport.items():
-        figure, _, axis = key.rpartition("/")
+        figure, slash, axis = key.partition("/")
         value = (value["min"], value["max"]) if isinstance(value, dict) and {"min", "max"} <= set(value) else value
-        if value is not None:
-            out[figure or _figures(spec)[0].uid][axis] = value
-    return dict(out)
+        for uid in [figure] if slash else list(out):
+            if value is not None and uid in out:
+                out[uid][axis if slash else key] = value
+    return out
 
 
 def _scoped(event: InteractionEvent, figures: list) -> list:

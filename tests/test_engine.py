@@ -299,6 +299,11 @@ def test_dashboard_cubes_and_service(data):
     assert len(service.DELTAS) == 0
 
 
+def test_viewport_keys():
+    spec = sp.DashboardSpec(figures=[sp.FigureSpec(uid="a"), sp.FigureSpec(uid="b")], state=sp.InteractionState(viewport={"a/x": {"min": 1, "max": 2}, "y": {"min": 0, "max": 1}, "b/coordinates": [[0, 1]], "c/x": {"min": 0, "max": 1}, "b/x": None}))
+    assert service.viewports(spec) == {"a": {"x": (1, 2), "y": (0, 1)}, "b": {"y": (0, 1), "coordinates": [[0, 1]]}}
+
+
 def test_plain_json():
     assert service.plain({"a": (dt.date(2024, 1, 1), math.nan, 1)}) == {"a": ["2024-01-01", None, 1]}
     with pytest.raises(TypeError):
