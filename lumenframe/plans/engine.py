@@ -24,7 +24,7 @@ from ..sources.registry import Source
 from . import codec, cube as cubes, jobs
 from .cache import LRU
 from .spec import ActiveSource, GroupedChildDelta, InteractionEvent, SelectionState, TraceDelta
-from .traces import Histogram, Trace
+from .traces import Histogram, Histogram2D, Trace
 
 #: Events that show unfiltered data at full extent, whose payloads may be remembered.
 PLAIN_EVENTS = ("init", "reset", "deselect")
@@ -138,11 +138,15 @@ class Engine:
     def _plan(self, touched, wanted, filtered: bool, df: DataFrame, filters: list) -> list:
         """The jobs; unzoomed histograms fall back to 0..1 when no row is left, as their bounds come from the rows that are."""
         plan = [wanted[i.uid] for i, _ in touched]
-        if filtered and any(isinstance(j, jobs.HistogramJob) and j.view is None for j in plan) and df.where(jobs.all_of(filters)).isEmpty():
-            for n, (i, _) in enumerate(touched):
-                if isinstance(plan[n], jobs.HistogramJob) and plan[n].view is None:
-                    i.trace.bounds = (0.0, 1.0 + EDGE_EPS)
-                    plan[n] = replace(plan[n], bounds=i.trace.bounds)
+        open_ = [n for n, (i, r) in enumerate(touched) if isinstance(i.trace, (Histogram, Histogram2D)) and not r]
+        if filtered and open_ and df.where(jobs.all_of(filters)).isEmpty():
+            for n in open_:
+                trace = touched[n][0].trace
+                if isinstance(trace, Histogram):
+                    trace.bounds = (0.0, 1.0 + EDGE_EPS)
+                    plan[n] = replace(plan[n], bounds=trace.bounds)
+                else:
+                    trace.bounds = [(0.0, 1.0), (0.0, 1.0)]
         return plan
 
     def _overlay(self, df, touched, wanted, filters, selected: bool) -> list[TraceDelta]:

@@ -126,6 +126,8 @@ def test_cross_filter_and_gates(engine):
 def test_histogram_over_no_rows_falls_back_to_the_unit_domain(engine):
     d = run(engine, t.Histogram(x="val", bins=2), "selection", selections=[select("cat", values=["none"])], force_update=True)[0].updates
     assert d["y"] == [0, 0] and d["x"] == pytest.approx([0.25, 0.75])
+    g = run(engine, t.Histogram2D("val", "other", x_bins=2, y_bins=1), "selection", selections=[select("cat", values=["none"])], force_update=True)[0].updates
+    assert g["x"] == [0.25, 0.75] and g["z"] == [[None, None]]
 
 
 def test_overlay_layers(engine):
