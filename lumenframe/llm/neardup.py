@@ -178,7 +178,9 @@ def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Sc
     least = least_matches(num / den)
 
     low = posts.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    star = posts.join(low, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # Lists of one member hold no pair; only the others are written down, once for both rounds.
+    posts = scratch.keep(posts.join(low, "key"), "posts")
+    star = posts.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     # The ids' Bloom filter below comes from small tables; any size of the other side makes it worth while.
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     first = _confirmed(scratch.keep(_agreeing(star, reps, least), "stars"), docs, n, num, den, scratch)
@@ -186,6 +188,7 @@ def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Sc
 
     named = posts.join(merged, posts.rep == merged.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     rest = scratch.keep(_agreeing(_across(named, reps, docs, n, num, den, scratch), reps, least), "rest")
+    scratch.drop(posts)
     if not rest.isEmpty():
         links = first.unionByName(_confirmed(rest, docs, n, num, den, scratch))
         merged = scratch.keep(components(links, scratch), "merged")
