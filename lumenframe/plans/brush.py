@@ -18,6 +18,7 @@ from ..functions.binning import edges
 from ..functions.typing import from_physical, is_temporal, kind_of
 from . import cube as cubes
 from . import traces as t
+from .cubestore import CubeStore
 from .engine import Engine, TraceInfo
 from .spec import ActiveSource, ClauseFilter, SelectionPredicate, SelectionState, TraceDelta
 
@@ -101,13 +102,13 @@ def prepare(trace: t.Trace, spec: cubes.CubeSpec, schema) -> None:
 
 
 class Brush:
-    def __init__(self, engine: Engine, infos: list[TraceInfo], viewports: dict[str, dict], selections: list[SelectionState], active: ActiveSource):
+    def __init__(self, engine: Engine, infos: list[TraceInfo], viewports: dict[str, dict], selections: list[SelectionState], active: ActiveSource, store: CubeStore | None = None):
         self.engine, self.active = engine, active
         self.specs, by_trace, passive = engine.plan_cubes(infos, viewports, selections, active)
         self.targets = [(i, by_trace[i.uid]) for i in infos if i.uid in by_trace]
         self.cubes = {}
         for key, spec in self.specs.items():
-            built = engine.cube(spec, passive)
+            built = engine.cube(spec, passive) if store is None else store.get_or_build(spec, lambda spec=spec: engine.cube(spec, passive))
             built.frame = built.frame.persist(StorageLevel.MEMORY_AND_DISK)
             self.cubes[key] = built
 

@@ -88,6 +88,23 @@ def test_wrong_source_serves_nothing(engine):
         assert b.free is None and b.targets == []
 
 
+def test_stored_cubes_are_not_built_again(engine, spark, tmp_path):
+    from lumenframe.plans.cubestore import CubeStore
+
+    store = CubeStore(spark, str(tmp_path))
+    h = t.Histogram(x="val")
+    targets = [t.BarPlot("cat", "other", "max"), t.CorrHeatmap(["ts", "val"]), t.LinePlot("ts", "other", n_points=10)]
+    infos = [TraceInfo(h.uid, "src", h), *(TraceInfo(x.uid, "f", x) for x in targets)]
+    active = sp.ActiveSource("src", "val", h.uid)
+    first = Brush(engine, infos, {}, [], active, store)
+    want = [sp.to_dict(d) for d in first.move((5.0, 60.0))]
+    engine_without_rows = Engine(Source("s", engine.source.df.where("false"), ["ts"]))
+    engine_without_rows.source._domains = dict(engine.source._domains)
+    again = Brush(engine_without_rows, infos, {}, [], active, store)
+    close([sp.to_dict(d) for d in again.move((5.0, 60.0))], want)
+    assert len(list(tmp_path.iterdir())) == 3
+
+
 def test_category_keys():
     p = lambda **v: sp.SelectionPredicate([sp.ClauseFilter(c, values=[x]) for c, x in v.items()])
     assert category_keys(("a", "b"), [p(a="x", b="y"), p(a="z")]) == [("x", "y"), ("z",)]

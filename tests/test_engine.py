@@ -251,6 +251,10 @@ def test_sources(spark, data, tmp_path):
     data.select("ts", "val").write.parquet(str(tmp_path / "p"))
     data.select("ts", "val").write.csv(str(tmp_path / "c"), header=True)
     assert read(spark, str(tmp_path / "p")).count() == read(spark, str(tmp_path / "c"), "csv", header=True).count() == 240
+    from lumenframe.sources.registry import store
+
+    kept = store(data, str(tmp_path / "s"), ["ts"], 4)
+    assert kept.count() == 240 and kept.schema == data.schema and len(list((tmp_path / "s").glob("part-*"))) == 4
     r = SourceRegistry()
     r.register("d", data, order_by=["ts"])
     assert r.get("d").domains(["val", "cat" if False else "other"]) == {"val": (0.0, 49.0), "other": (0.0, 19.0)}
