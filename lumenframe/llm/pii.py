@@ -108,6 +108,7 @@ _LOOSE = (
     ("card", "", re.compile(r"(?<![\w.+-])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![\w-])")),
     ("ssn", "-", re.compile(r"(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", "", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("secret", "=", re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key) ?= ?[\"']?([^\s\"']{8,200})", re.I)),
     ("secret", "", re.compile(r"(?<![\w/+=-])(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9_/+=-]{20,200}(?![\w/+=-])")),
 )
 
@@ -129,7 +130,8 @@ def loose_spans(text: str | None) -> list[tuple[str, int, int]]:
         else:
             ok = digit and need in text
         if ok:
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
+            # The span is the group, where a pattern has one.
+            out += [(kind, *m.span(pattern.groups)) for m in pattern.finditer(text)]
     return out
 
 
@@ -206,6 +208,10 @@ def _example(rnd: random.Random) -> tuple[str, str, int, int, int]:
         pool = string.ascii_letters + string.digits
         s = "".join(rnd.choice(pool) for _ in range(rnd.randint(24, 40))) + num(1) if good else rnd.choice((f"{word()}_{word()}_{word()}_{word()}{num(2)}-{word()}", "=" * 20 + num(1), "a" * 25 + num(2), "-".join(word() for _ in range(5)) + num(1)))
     lead = " ".join(word() for _ in range(rnd.randint(0, 4)))
+    if kind == "secret" and good and rnd.random() < 0.3:
+        s = "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(11, 40))) + num(1)
+        lead += f" {rnd.choice(('password', 'token', 'secret', 'pwd', 'api_key'))}="
+        return lead + s + " " + word(), kind, len(lead), len(lead) + len(s), 1
     if hint:
         lead += " " + (rnd.choice(CONTEXT[kind]) if good else rnd.choice((*CONTEXT["against"], word())))
     elif good and kind in ("phone", "ssn", "iban", "card"):
