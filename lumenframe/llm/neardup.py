@@ -128,12 +128,17 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _across(named: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) across components that share a posting list of `named` (key, rep, comp) and could be linked."""
-    lists = scratch.keep(named.join(_mixed(named, "key").select("key"), "key").select("key", "rep", "comp"), "mixed")
+    """Pairs (a, b) across components that share a posting list of `named` (key, rep, comp) and could be linked.
+
+    What is joined back to rows is written down first: with an aggregate right below, a join could not be split where a value is hot.
+    """
+    named = scratch.keep(named, "named")
+    lists = scratch.keep(named.join(scratch.keep(_mixed(named, "key"), "keys").select("key"), "key").select("key", "rep", "comp"), "mixed")
+    scratch.drop(named)
     members = lists.select("rep", "comp").distinct()
     minima = F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.lit(i)) for i in range(COORDINATES * ROWS)))
     held = members.join(reps.select("rep", "sig"), "rep").select("rep", "comp", F.explode(minima).alias("g"))
-    near = held.join(_mixed(held, "g").select("g"), "g").groupBy("rep", "comp").agg(F.count(F.lit(1)).alias("n"))
+    near = held.join(scratch.keep(_mixed(held, "g"), "minima").select("g"), "g").groupBy("rep", "comp").agg(F.count(F.lit(1)).alias("n"))
     near = scratch.keep(near.where(F.col("n") >= least_matches(num / den)).select("rep", "comp"), "near")
     if near.isEmpty():
         return near.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
@@ -145,19 +150,20 @@ def _across(named: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int
     # The Bloom filter of the few ids left, built at run time, keeps other texts out of the shuffle.
     texts = docs.join(near.where(F.col("rep") > F.lit(-(1 << 63))).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = scratch.keep(stream(texts, shingles, "rep long, g array<long>", 64).join(near, "rep").withColumn("size", F.size("g")), "sets")
-    smallest = lists.join(sets.select("rep", "size"), "rep").select("key", "rep", "size")
-    smallest = smallest.join(smallest.groupBy("key").agg(F.min("size").alias("low")), "key").groupBy("rep").agg(F.min("low").alias("low"))
+    sized = scratch.keep(lists.join(sets.select("rep", "size"), "rep").select("key", "rep", "size"), "sized")
+    lows = scratch.keep(sized.groupBy("key").agg(F.min("size").alias("low")), "lows")
+    smallest = sized.join(lows, "key").groupBy("rep").agg(F.min("low").alias("low"))
 
     # Positions: shingles of one component first, then by number of holders.
     rows = sets.select("rep", "comp", F.explode("g").alias("g"))
-    common = rows.join(_mixed(rows, "g"), "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("common"))
+    common = rows.join(scratch.keep(_mixed(rows, "g"), "shared"), "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("common"))
     placed = sets.select("rep", "comp", "size").join(common, "rep").join(smallest, "rep")
     least = F.ceil(F.lit(num) * (F.col("size") + F.greatest("low", F.ceil(F.lit(num) * F.col("size") / F.lit(den)))) / F.lit(num + den))
     own = F.col("size") - F.size("common")
     posts = placed.withColumn("own", own).withColumn("long", (F.col("size") - least + 1 - own).cast("int")).where("long > 0")
     posts = posts.select("rep", "comp", "size", "own", F.posexplode(F.expr("slice(common, 1, long)")).alias("i", "c")).select(F.col("c.g").alias("g"), "rep", "comp", "size", (F.col("size") - F.col("own") - F.col("i")).alias("rest"))
     posts = scratch.keep(posts, "prefixes")
-    posts = posts.join(_mixed(posts, "g").select("g"), "g")
+    posts = posts.join(scratch.keep(_mixed(posts, "g"), "met").select("g"), "g")
     x, y = (posts.select("g", *(F.col(c).alias(c + k) for c in ("rep", "comp", "size", "rest"))) for k in "ab")
     pair = (F.col("repa") < F.col("repb")) & (F.col("compa") != F.col("compb")) & (F.lit(num + den) * F.least("resta", "restb") >= F.lit(num) * (F.col("sizea") + F.col("sizeb")))
     out = scratch.keep(x.join(y, "g").where(pair).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct(), "across")
@@ -177,7 +183,7 @@ def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Sc
     posts = reps.select("rep", F.explode(coordinates()).alias("key"))
     least = least_matches(num / den)
 
-    low = posts.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    low = scratch.keep(posts.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "low")
     # Lists of one member hold no pair; only the others are written down, once for both rounds.
     posts = scratch.keep(posts.join(low, "key"), "posts")
     star = posts.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
