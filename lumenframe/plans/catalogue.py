@@ -378,6 +378,17 @@ def cube_line_env(df):
     return cubes.build(df, spec).slice(100, 700).select("__bin__event_id", "y_min", "y_max")
 
 
+@register("cube_line_env_whole", "events", f"""
+WITH d AS (SELECT CAST(min(event_id) AS DOUBLE) AS xl, CAST(max(event_id) AS DOUBLE) AS xh, CAST(min(user_id) AS DOUBLE) AS fl, CAST(max(user_id) AS DOUBLE) AS fh FROM events),
+c AS (SELECT {sql_axis("user_id", "fl", "fh", 64)} AS free_bin, {sql_axis("event_id", "xl", "xh", 30)} AS b, value AS y FROM events, d WHERE value IS NOT NULL)
+SELECT b AS __bin__event_id, CAST(CAST(min(y) AS FLOAT) AS DOUBLE) AS y_min, CAST(CAST(max(y) AS FLOAT) AS DOUBLE) AS y_max FROM c WHERE free_bin BETWEEN 6 AND 44 GROUP BY 1""")
+def cube_line_env_whole(df):
+    """As cube_line_env, over all rows: both domains, and the brush as shares of one, come from the table."""
+    (lo, hi), ids = ((0.0, 1.0) if d[0] is None else d for d in (histogram.domain(df, "user_id"), histogram.domain(df, "event_id")))
+    spec = cubes.CubeSpec("events", cubes.FreeAxis("user_id", p=64, domain=(lo, hi)), (cubes.TargetDim("event_id", "binned", 30, ids),), cubes.Measure("line_env", "value"))
+    return cubes.build(df, spec).slice(lo + 6.5 / 64 * (hi - lo), lo + 44.5 / 64 * (hi - lo)).select("__bin__event_id", "y_min", "y_max")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram of prices, background and cross-filtered, in one scan."""
     return QUERIES["overlay_bg_fg"](spark, sf_dir)

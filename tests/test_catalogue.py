@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.plans import catalogue
 
@@ -38,3 +39,13 @@ def test_query(spark, sf, duck, name):
 
 def test_flagship(spark, sf):
     assert sum(r["count"] for r in catalogue.flagship(spark, sf).collect()) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_whole_line_cube_reads_every_event(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    lo, hi, top = df.selectExpr("min(user_id)", "max(user_id)", "max(event_id)").first()
+    got = {r[0]: r[1:] for r in catalogue.QUERIES["cube_line_env_whole"](spark, "/root/testdata/sf0.1").collect()}
+    assert set(got) >= set(range(30))
+    inside = df.where(f"floor((user_id - {lo}) / {hi - lo}D * 64) between 6 and 44")
+    want = inside.groupBy(F.floor(df.event_id / top * 30).alias("b")).agg(F.min("value").cast("float").cast("double"), F.max("value").cast("float").cast("double")).collect()
+    assert got == {r[0]: r[1:] for r in want}
