@@ -5,8 +5,10 @@ byte 1-, 2-, 3- and 4-grams that occur in the lower-cased text.  Landmark texts
 of every language give a Nyström map of the kernel, one-versus-rest ridge
 regression on the mapped sample gives one column for each language, and both
 fold into a single matrix, so a batch is scored by two matrix products:
-presence x landmarks, then kernel x columns.  Grams that no landmark holds count in
-a text's norm only; that scales all its columns alike.
+presence x landmarks, then kernel x columns.  Every gram of any landmark has a
+column: the DENSE columns held by most landmarks are multiplied densely, the rest
+through lists of the landmarks that hold them.  Grams that no landmark holds count
+in a text's norm only; that scales all its columns alike.
 
 The fit reads a bounded sample of labelled rows (SAMPLE of each language, by a
 hash of the id); scoring reads every row and every whole text.
@@ -31,7 +33,11 @@ SAMPLE, LANDMARKS = 250, 40
 #: Most rows and landmarks, whatever the number of languages.
 MOST_ROWS, MOST_LANDMARKS = 8000, 512
 GRAMS = (1, 2, 3, 4)
-TABLE_BITS, COLUMNS, RIDGE = 20, 8192, 1e-2
+RIDGE = 1e-2
+#: Columns of the dense product, for the grams that most landmarks hold; all others are looked up in lists.
+DENSE = 8192
+#: Bits of a gram's key that lead to its place among the keys.
+TABLE_BITS = 18
 #: Texts and bytes of one matrix product.
 BLOCK_ROWS, BLOCK_BYTES = 64, 1_500_000
 _LETTER = regex.compile(r"\p{L}")
@@ -40,45 +46,90 @@ _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _MIX = np.uint32(0x9E3779B1)
 
 
-def gram_hashes(raw: np.ndarray, n: int) -> np.ndarray:
-    """TABLE_BITS-bit hashes of all byte n-grams (n up to 4) of a buffer, in order."""
+def gram_keys(raw: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all byte n-grams (n up to 4) of a buffer, in order: mixed well, and different for different grams."""
     h = np.zeros(len(raw) - n + 1, np.uint32)
     for i in range(n):
         h = (h << np.uint32(8)) | raw[i : len(raw) - n + 1 + i]
-    return ((h + np.uint32(n * 0x7F4A7C15 & 0xFFFFFFFF)) * _MIX) >> np.uint32(32 - TABLE_BITS)
+    return h * _MIX
+
+
+def buffer(raws: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raws), np.uint8).astype(np.uint32)
 
 
 def plain(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace").translate(_PLAIN) + b" "
 
 
+class Columns:
+    """The column of every gram of the landmarks, by the gram's length; the grams of most landmarks come first."""
+
+    def __init__(self, keys: list[np.ndarray], columns: list[np.ndarray]):
+        """Sorted keys for each of GRAMS, and their columns."""
+        shift = np.uint32(32 - TABLE_BITS)
+        self.shift, self.count = shift, sum(map(len, keys))
+        # One more key, so that every place can be read.
+        self.keys = [np.append(k, np.uint32(0)) for k in keys]
+        self.columns = [np.append(c, -1).astype(np.int32) for c in columns]
+        self.start = [np.searchsorted(k >> shift, np.arange((1 << TABLE_BITS) + 1)).astype(np.int32) for k in keys]
+
+    def of(self, which: int, key: np.ndarray) -> np.ndarray:
+        """Columns of the keys of grams of length GRAMS[which]; -1 where no landmark holds the gram."""
+        keys, columns, start = self.keys[which], self.columns[which], self.start[which]
+        slot = key >> self.shift
+        at, end = start[slot], start[slot + np.uint32(1)]
+        out = np.where((at < end) & (keys[at] == key), columns[at], np.int32(-1))
+        left = np.flatnonzero((out < 0) & (at + 1 < end))
+        step = 1
+        while len(left):
+            here = at[left] + step
+            hit = keys[here] == key[left]
+            out[left[hit]] = columns[here[hit]]
+            left = left[~hit & (here + 1 < end[left])]
+            step += 1
+        return out
+
+
 class KernelModel:
-    """column: gram hash -> column (COLUMNS: none); landmarks: (m, COLUMNS + 1) presence over norm; out: (m, languages)."""
+    """columns: of all grams of the landmarks; landmarks: (m, DENSE + 1) presence over norm of the first DENSE columns;
+    lists: for the other columns the bounds and numbers of the landmarks that hold them; norms: of the landmarks; out: (m, languages)."""
 
-    def __init__(self, langs: list[str], column: np.ndarray, landmarks: np.ndarray, out: np.ndarray, scale: float):
-        self.langs, self.column, self.landmarks, self.out, self.scale = langs, column, landmarks, out, scale
+    def __init__(self, langs: list[str], columns: Columns, landmarks: np.ndarray, lists: tuple[np.ndarray, np.ndarray], norms: np.ndarray, out: np.ndarray, scale: float):
+        self.langs, self.columns, self.landmarks, self.lists, self.norms, self.out, self.scale = langs, columns, landmarks, lists, norms, out, scale
 
-    def presence(self, raws: list[bytes]) -> np.ndarray:
-        """Rows of 0/1 over the columns; the last column is cleared."""
-        p = np.zeros((len(raws), COLUMNS + 1), np.float32)
+    def presence(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of 0/1 over the first DENSE columns (a last one is cleared); (row, column) of the others; the number of each row's grams."""
+        p = np.zeros((len(raws), DENSE + 1), np.float32)
         flat = p.ravel()
-        text = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint32)
-        base = np.repeat(np.arange(len(raws)) * (COLUMNS + 1), [len(r) for r in raws])
-        for n in GRAMS:
+        text = buffer(raws)
+        owner = np.repeat(np.arange(len(raws), dtype=np.int64), [len(r) for r in raws])
+        sparse, unseen = [], np.zeros(len(raws), np.int64)
+        for which, n in enumerate(GRAMS):
             if len(text) >= n:
-                # A gram over the seam of two texts begins and ends in their outer spaces; the seam's grams are skipped.
-                at = base[: len(text) - n + 1]
-                hit = at + self.column[gram_hashes(text, n)]
+                key, row = gram_keys(text, n), owner[: len(text) - n + 1]
                 if n > 1:
-                    hit = hit[at == base[n - 1 :]]
-                flat[hit] = 1
-        p[:, COLUMNS] = 0
-        return p
+                    # Grams over the seam of two texts are skipped.
+                    whole = row == owner[n - 1 :]
+                    key, row = key[whole], row[whole]
+                column = self.columns.of(which, key)
+                flat[row * (DENSE + 1) + np.where(column < 0, DENSE, np.minimum(column, DENSE))] = 1
+                rare, new = column >= DENSE, column < 0
+                sparse.append(np.unique(row[rare] * self.columns.count + column[rare]))
+                # Grams that no landmark holds count in the norm.
+                unseen += np.bincount(np.unique((row[new] << 32) | key[new]) >> 32, minlength=len(raws))
+        p[:, DENSE] = 0
+        row, column = np.divmod(np.concatenate(sparse), max(1, self.columns.count))
+        return p, row, column, p.sum(axis=1) + np.bincount(row, minlength=len(raws)) + unseen
 
     def kernel(self, raws: list[bytes]) -> np.ndarray:
-        p = self.presence(raws)
-        norm = np.sqrt(np.maximum(p.sum(axis=1), 1.0))
-        return (p @ self.landmarks.T) / norm[:, None]
+        p, row, column, size = self.presence(raws)
+        m = len(self.norms)
+        bounds, members = self.lists
+        first, many = bounds[column - DENSE], bounds[column - DENSE + 1] - bounds[column - DENSE]
+        place = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        shared = np.bincount(np.repeat(row, many) * m + members[place], minlength=len(raws) * m).reshape(len(raws), m)
+        return ((p @ self.landmarks.T + shared / self.norms) / np.sqrt(np.maximum(size, 1.0))[:, None]).astype(np.float32)
 
     def margins(self, raws: list[bytes]) -> np.ndarray:
         return self.kernel(raws) @ self.out
@@ -121,20 +172,25 @@ class KernelModel:
         rows = [(plain(t), y) for t, y in zip(texts, labels) if t and _LETTER.search(t)]
         langs = sorted({y for _, y in rows})
         if not langs:
-            return KernelModel([], np.zeros(1, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), 1.0)
+            return KernelModel([], Columns([], []), np.zeros((0, 0), np.float32), (np.zeros(1, np.int64), np.zeros(0, np.int32)), np.zeros(0), np.zeros((0, 0)), 1.0)
         per = max(1, min(LANDMARKS, MOST_LANDMARKS // len(langs)))
         chosen = [r for y in langs for r, _ in [x for x in rows if x[1] == y][:per]]
-        seen = np.zeros(1 << TABLE_BITS, np.int64)
-        for r in chosen:
-            text = np.frombuffer(r, np.uint8).astype(np.uint32)
-            seen[np.unique(np.concatenate([gram_hashes(text, n) for n in GRAMS if len(text) >= n]))] += 1
-        top = np.argsort(-seen, kind="stable")[:COLUMNS]
-        column = np.full(1 << TABLE_BITS, COLUMNS, np.int64)
-        column[top] = np.where(seen[top] > 0, np.arange(len(top)), COLUMNS)
-        model = KernelModel(langs, column, np.zeros((0, COLUMNS + 1), np.float32), np.zeros((0, 0)), 1.0)
-        p = np.concatenate([model.presence(chosen[a : a + BLOCK_ROWS]) for a in range(0, len(chosen), BLOCK_ROWS)])
-        model.landmarks = p / np.sqrt(np.maximum(p.sum(axis=1), 1.0))[:, None]
-        kmm = (model.landmarks @ model.landmarks.T).astype(float)
+        held = [[np.unique(gram_keys(buffer([r]), n)) if len(r) >= n else np.zeros(0, np.uint32) for r in chosen] for n in GRAMS]
+        found = [np.unique(np.concatenate(h), return_counts=True) for h in held]
+        # The grams that most landmarks hold first.
+        order = np.argsort(-np.concatenate([c for _, c in found]), kind="stable")
+        column = np.empty(len(order), np.int64)
+        column[order] = np.arange(len(order))
+        columns = Columns([k for k, _ in found], np.split(column, np.cumsum([len(k) for k, _ in found])[:-1]))
+        none = (np.zeros(max(0, columns.count - DENSE) + 1, np.int64), np.zeros(0, np.int32))
+        model = KernelModel(langs, columns, np.zeros((0, DENSE + 1), np.float32), none, np.zeros(0), np.zeros((0, 0)), 1.0)
+        parts = [model.presence(chosen[a : a + BLOCK_ROWS]) for a in range(0, len(chosen), BLOCK_ROWS)]
+        model.norms = np.sqrt(np.concatenate([size for *_, size in parts]))
+        model.landmarks = (np.concatenate([p for p, *_ in parts]) / model.norms[:, None]).astype(np.float32)
+        member = np.concatenate([row + i * BLOCK_ROWS for i, (_, row, _, _) in enumerate(parts)])
+        place = np.concatenate([c for _, _, c, _ in parts]) - DENSE
+        model.lists = (np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(none[0]) - 1))]).astype(np.int64), member[np.argsort(place, kind="stable")].astype(np.int32))
+        kmm = np.concatenate([model.kernel(chosen[a : a + BLOCK_ROWS]) for a in range(0, len(chosen), BLOCK_ROWS)]).astype(float)
         value, vector = np.linalg.eigh(kmm)
         half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
         knm = np.concatenate([model.kernel([r for r, _ in rows[a : a + BLOCK_ROWS]]) for a in range(0, len(rows), BLOCK_ROWS)]).astype(float)
@@ -163,7 +219,7 @@ _MODELS: dict[bytes, KernelModel] = {}
 
 def identify(docs: DataFrame, model: KernelModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.column, model.landmarks, model.out.astype(np.float32), model.scale))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.columns, model.landmarks, model.lists, model.norms, model.out.astype(np.float32), model.scale))
     tag = np.random.default_rng().bytes(12)
 
     def run(batches):

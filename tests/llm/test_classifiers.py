@@ -101,6 +101,25 @@ def test_language_kernel_is_the_cosine_of_gram_sets():
             assert got[i, j] == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5, abs=1e-5)
 
 
+def test_language_kernel_holds_every_gram_of_every_landmark():
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    texts = ["".join(rnd.choice(letters) for _ in range(900)) for _ in range(20)] + ["ñandú ýþð", "þð ýñ"]
+    m = langid.KernelModel.fit(texts, ["aa"] * 20 + ["rare"] * 2)
+    def grams(t):
+        raw = langid.plain(t)
+        return {raw[i : i + n] for n in langid.GRAMS for i in range(len(raw) - n + 1)}
+    sets = [grams(t) for t in texts]
+    assert len(set().union(*sets)) > 8192
+    tried = [*texts, "ñandú þor", "x" * 50 + "一二三"]
+    got = m.kernel([langid.plain(t) for t in tried])
+    for i, t in enumerate(tried):
+        x = grams(t)
+        for j, y in enumerate(sets):
+            assert got[i, j] == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5, abs=1e-5)
+    assert m.predict(["ýþ ñú"])[0] == ["rare"]
+
+
 def test_toxicity_on_held_out_documents(spark):
     got = toxicity.op8_toxicity(spark, "/root/testdata/sf0.1").collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
