@@ -6,7 +6,10 @@ language implies it, opens the table body and row that a cell implies, and
 ignores end tags without a start.  Hidden are: metadata, scripts, styles and
 templates, elements with `hidden`, an inline style or a simple style-sheet rule
 (tag, .class, #id) of display:none or visibility:hidden, closed dialogs, all but
-the summary of closed details, and the fallback of embedded media.  The
+the summary of closed details, the fallback of embedded media, and what svg and
+math hold but do not draw in place (definitions, descriptions, annotations).
+Rules that hold only in print, on some screens or under other conditions hide
+nothing.  Texts of svg and rows of math tables stand on lines of their own.  The
 renderer collapses white space as a browser does, keeps it in preformatted
 text, sets blocks on lines of their own with a blank line around paragraphs,
 headings, lists and tables, marks and indents list items, and aligns the cells
@@ -35,7 +38,13 @@ DEEPEST, WIDEST = 120, 40
 #: Fixed value sets of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-NEVER = frozenset("head meta link base script style template title noembed noframes iframe object audio video canvas datalist param source track svg math".split())
+NEVER = frozenset("head meta link base script style template title noembed noframes iframe object audio video canvas datalist param source track".split())
+#: Start tags that leave the head open.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Inside of svg and math: what is never drawn in place, and what begins a line.
+FOREIGN = frozenset(["svg", "math"])
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+OWN_LINE = frozenset(["text", "mtr"])
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table ul caption thead tbody tfoot tr td th".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul dir fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
@@ -60,8 +69,12 @@ SCOPE = frozenset("table td th caption html template".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_HIDE = re.compile(r"display|visibility", re.I)
+_NOTE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_STRING = re.compile(r"\"(?:\\.|[^\"\\])*+\"|'(?:\\.|[^'\\])*+'", re.S)
+_BRACE = re.compile(r"[{};]")
+#: Media that a page on a screen always has.
+SCREEN = frozenset(["", "all", "screen", "only all", "only screen", "not print"])
 _SIMPLE = re.compile(r"[.#]?[A-Za-z][\w-]*\Z")
 
 
@@ -80,6 +93,26 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on any screen, whatever its size."""
+    return any(" ".join(q.lower().split()) in SCREEN for q in media.split(","))
+
+
+def hides(declarations: str) -> bool:
+    """Whether declarations end in display:none or visibility:hidden; of two for a property the last counts, or the important one."""
+    if not _HIDE.search(declarations):
+        return False
+    found: dict[str, tuple[bool, str]] = {}
+    for d in _STRING.sub("", _NOTE.sub("", declarations)).split(";"):
+        name, _, value = d.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            value, mark, _ = value.lower().partition("!")
+            if mark or not found.get(name, (False,))[0]:
+                found[name] = (bool(mark), value.strip())
+    return found.get("display", (False, ""))[1] == "none" or found.get("visibility", (False, ""))[1] == "hidden"
+
+
 class Builder:
     """Builds the tree of one page."""
 
@@ -89,11 +122,20 @@ class Builder:
         self.hidden: set[str] = set()
 
     def text(self, s: str) -> None:
+        if s.strip(" \t\n\r\f"):
+            self.leave_head()
         top = self.open[-1]
         if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip():
             return
         top.kids.append(s)
 
+    def leave_head(self) -> None:
+        while self.open[-1].tag == "head":
+            self.open.pop()
+
+    def foreign(self) -> bool:
+        return any(n.tag in FOREIGN for n in self.open)
+
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         top = self.open[-1]
         node = Node(tag, attrs, top.depth + 1)
@@ -120,8 +162,11 @@ class Builder:
             self.close_implied(frozenset(["p"]), SCOPE | {"button"})
         if tag in CLOSES:
             self.close_implied(*CLOSES[tag])
-        if self.open[-1].tag == "head" and tag not in NEVER and tag not in ("noscript",):
-            self.open.pop()
+        if tag not in IN_HEAD:
+            self.leave_head()
+        if (tag in UNDRAWN or tag in OWN_LINE or tag == "mtd") and self.foreign():
+            # Names with a space are none that a page can hold.
+            attrs = attrs | ({"hidden": ""} if tag in UNDRAWN else {" cell": ""} if tag == "mtd" else {" line": ""})
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             if self.open[-1].tag == "table":
                 self.push("tbody", {})
@@ -145,9 +190,35 @@ class Builder:
                 return
 
     def sheet(self, css: str) -> None:
-        for selectors, body in _RULE.findall(css):
-            if _HIDE.search(body):
-                self.hidden.update(s.strip().lower() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
+        """Simple rules of a style sheet; rules inside of other rules and of conditional at-rules are passed over."""
+        if not _HIDE.search(css):
+            return
+        css = _STRING.sub("", _NOTE.sub("", css))
+        within: list[str] = []
+        at, head, body = 0, "", []
+
+        def close(end: int) -> None:
+            if within and within.pop() == "rule" and hides("".join([*body, css[at:end]])):
+                self.hidden.update(x.strip().lower() for x in head.split(",") if _SIMPLE.match(x.strip()))
+
+        for m in _BRACE.finditer(css):
+            outside = not within or within[-1] == "always"
+            if m[0] == "{":
+                if outside:
+                    head, body = css[at : m.start()].strip(), []
+                    name = re.match(r"@?[\w-]*", head)[0].lower()
+                    always = name == "@layer" or (name == "@media" and on_screen(head[6:]))
+                    within.append("always" if always else "other" if name.startswith("@") else "rule")
+                else:
+                    if within[-1] == "rule":
+                        body.append(css[at : m.start()].rpartition(";")[0] + ";")
+                    within.append("other")
+            elif m[0] == "}":
+                close(m.start())
+            elif not outside:
+                continue
+            at = m.end()
+        close(len(css))
 
     def parse(self, page: str) -> "Builder":
         at, size = 0, len(page)
@@ -191,12 +262,17 @@ class Builder:
             if m[1]:
                 self.end(tag)
                 continue
-            self.start(tag, attributes(m[3]) if m[3] else {})
-            if tag in RAW:
+            attrs = attributes(m[3]) if m[3] else {}
+            self.start(tag, attrs)
+            if m[3].endswith("/") and tag not in VOID and self.foreign():
+                # Inside of svg and math a tag can close itself.
+                self.open.pop()
+            elif tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 body = page[at : stop.start() if stop else size]
                 if tag == "style":
-                    self.sheet(body)
+                    if on_screen(attrs.get("media", "")):
+                        self.sheet(body)
                 elif tag in ("textarea", "xmp"):
                     self.open[-1].kids.append(unescape(body) if tag == "textarea" else body)
                 self.end(tag)
@@ -209,7 +285,7 @@ class Builder:
         if tag in NEVER:
             return False
         if attrs:
-            if "hidden" in attrs or ("style" in attrs and _HIDE.search(attrs["style"])):
+            if "hidden" in attrs or ("style" in attrs and hides(attrs["style"])):
                 return False
             if tag == "input" and attrs.get("type", "").lower() == "hidden":
                 return False
@@ -299,6 +375,13 @@ def _walk(node: Node, b: Builder, out: Lines, pre: bool) -> None:
             out.end_line(True)
         elif tag == "wbr":
             continue
+        elif " line" in kid.attrs:
+            out.end_line()
+            _walk(kid, b, out, pre)
+            out.end_line()
+        elif " cell" in kid.attrs:
+            out.space = True
+            _walk(kid, b, out, pre)
         elif tag == "table":
             out.blank()
             for line in _table(kid, b):

@@ -93,3 +93,23 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<p>a", "x"), (3, "<p>a", "x"), (None, "b", "x")], "page_id long, html string, text string")
     assert sorted((r.page_id or -1, r.text) for r in extract(df).where("text is not null").collect()) == [(-1, "b"), (2, ""), (3, "a"), (3, "a")]
     assert extract(df).count() == 5 and extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p style='backface-visibility:hidden'>a</p>", "a"),
+    ("<style>.x{-webkit-backface-visibility: hidden}</style><p class=x>a</p>", "a"),
+    ("<p style='display:none;display:block'>a</p><p style='visibility : hidden !important'>n</p>", "a"),
+    ("<style>@media print { .no-print { display:none } } .n{display:none}</style><p class=no-print>a</p><p class=n>n</p>", "a"),
+    ("<style>@media (max-width: 600px) { .w { display:none } } @media screen { .n{display:none} }</style><p class=w>a</p><p class=n>n</p>", "a"),
+    ("<style media=print>p{display:none}</style><p>a</p>", "a"),
+    ("<style>@import 'x'; /* } */ .a{color:red; .b{display:none} &:hover{display:none}} .n{display:none; b{color:red}}</style><p class=a>a<b class=b>b</b></p><p class=n>n", "ab"),
+    ("<style>.n{display:none</style><p class=n>n</p>a", "a"),
+    ("<html><head><title>n</title>text<p>b</html>", "text\n\nb"),
+    ("<head><meta charset=x> <iframe></iframe>text", "text"),
+    ("a<svg><title/><defs/><path d='m'/><g><text>one</text><text>two</text></g><desc>n</desc></svg>b", "a\none\ntwo\nb"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>n</annotation></math>", "x=1"),
+    ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd></mtr></mtable></math>", "1 2\n3"),
+    ("<desc>a</desc> <text>b</text>", "a b"),
+])
+def test_visible_text_stays(page, text):
+    assert render(page) == text
