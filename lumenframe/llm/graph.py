@@ -29,16 +29,22 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _mark(e: DataFrame) -> tuple:
+    """Equal for equal sets of edges, and hardly for others.  Exclusive or has no limit of rows, as a sum of longs has."""
+    h = F.xxhash64("u", "v")
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.col("v")))).first())
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (its smallest node) for every node of `edges` (u, v); nodes without edges are absent."""
     e = scratch.keep(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
     mark = None
     while True:
         new = scratch.keep(_small_star(_large_star(e)), "star")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        now = _mark(new)
         scratch.drop(e)
         e = new
-        if tuple(now) == mark:
+        if now == mark:
             break
-        mark = tuple(now)
+        mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,8 +2,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lumenframe.llm import neardup
+from lumenframe.llm import graph, neardup
 from lumenframe.llm.graph import components
 from lumenframe.llm._common import Scratch
 from tests.llm import brute
@@ -82,6 +83,13 @@ def test_components_of_chains_and_stars(spark):
     assert {(r.node, r.component) for r in got} == {(i, 0) for i in range(61)} | {(1000 + i, 1000) for i in range(50)} | {(2000, 1000)}
 
 
+def test_mark_of_many_edges(spark):
+    edges, dealt = (spark.range(0, 20_000_000, 1, n).selectExpr("id + 1 as u", "id % 7 as v") for n in (4, 7))
+    mark = graph._mark(edges)
+    assert mark[0] == 20_000_000 and mark == graph._mark(dealt)
+    assert mark != graph._mark(edges.withColumn("v", F.expr("if(u = 5, 3, v)")))
+
+
 def test_query_equals_its_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
