@@ -100,16 +100,17 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-# Looser generators.  All but the first two need a digit; runs are entered at their first character.
+# Looser generators: kind, what a text must hold in lower case (any of several), whether it must hold a digit, pattern.
+# Runs are entered at their first character.
 _LOOSE = (
-    ("email", "(at)[at]{at}", re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)),
-    ("email", " dot ", re.compile(r"(?<![\w.+-])[\w.+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,63}){1,4}", re.I)),
-    ("phone", "", re.compile(r"(?<![\w.+(])(?:\(?[0-9]{2,5}\)?[ ./-]{1,2}){1,4}[0-9]{3,5}(?![\w.-])")),
-    ("card", "", re.compile(r"(?<![\w.+-])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![\w-])")),
-    ("ssn", "-", re.compile(r"(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("iban", "", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("secret", "=", re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key) ?= ?[\"']?([^\s\"']{8,200})", re.I)),
-    ("secret", "", re.compile(r"(?<![\w/+=-])(?=[A-Za-z_/+=-]*[0-9])[A-Za-z0-9_/+=-]{20,200}(?![\w/+=-])")),
+    ("email", ("(at)", "[at]", "{at}"), False, re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)),
+    ("email", (" dot ",), False, re.compile(r"(?<![\w.+-])[\w.+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    ("phone", ("",), True, re.compile(r"(?<![\w.+(])(?:\(?[0-9]{2,5}\)?[ ./-]{1,2}){1,4}[0-9]{3,5}(?![\w.-])")),
+    ("card", ("",), True, re.compile(r"(?<![\w.+-])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![\w-])")),
+    ("ssn", ("-",), True, re.compile(r"(?<![\w.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("iban", ("",), True, re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("secret", ("=",), False, re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key) ?= ?[\"']?([^\s\"']{8,}+)", re.I)),
+    ("secret", ("",), True, re.compile(r"(?<![\w/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{20,}+(?![\w/+=-])")),
 )
 
 
@@ -118,18 +119,10 @@ def loose_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     digit = _DIGIT.search(text) is not None
-    lower = None
+    lower = text.lower()
     out = []
-    for kind, need, pattern in _LOOSE:
-        if kind == "email":
-            if need == " dot ":
-                ok = " dot " in text or " DOT " in text
-            else:
-                lower = lower if lower is not None else ("at)" in text or "at]" in text or "at}" in text or "AT)" in text or "AT]" in text)
-                ok = lower
-        else:
-            ok = digit and need in text
-        if ok:
+    for kind, needs, needs_digit, pattern in _LOOSE:
+        if (digit or not needs_digit) and any(x in lower for x in needs):
             # The span is the group, where a pattern has one.
             out += [(kind, *m.span(pattern.groups)) for m in pattern.finditer(text)]
     return out

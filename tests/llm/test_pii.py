@@ -79,3 +79,19 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     p = BoostedTrees().fit(x[:1000], y[:1000]).calibrate(x[1000:1500], y[1000:1500]).probability(x[1500:])
     assert ((p > 0.5) == y[1500:]).mean() > 0.97
+
+
+def test_long_secrets_go_whole():
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("0123456789abcdef") for _ in range(5000))
+    text = f"use token={long} here"
+    assert pii.redact(text, pii.find_spans([text], pii.model())[0][1]) == "use token=[SECRET] here"
+    assert ("secret", 4, 304) in pii.loose_spans("key " + long[:300] + " end")
+
+
+def test_proposals_need_only_what_their_patterns_need():
+    assert pii.loose_spans("password=correcthorse") == [("secret", 9, 21)]
+    for at in ("(At)", "{AT}", "[aT]"):
+        t = f"jo {at} site (Dot) org"
+        assert pii.loose_spans(t) == [("email", 0, len(t))]
+    assert pii.loose_spans("jo at site Dot com") == [("email", 0, 18)]
