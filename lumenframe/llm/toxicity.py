@@ -261,6 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """Learn from labelled rows: docs (doc_id, text), labels (doc_id, label in 0/1)."""
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     picked = sample_by_class(marked, "y", sample)
+    # A thinned class counts as much as it has labelled rows, so that odds do not depend on how many there are.
+    labelled = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    per_row = {y: max(1.0, n / sample) for y, n in labelled.items()}
     # `picked` is bounded by the sample (two times SAMPLE ids), so it is the side to broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
@@ -280,10 +283,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     insult: dict[bytes, float] = {}
     if head[0] and head[1]:
         toxic_docs, clean_docs, tried = head
-        share = toxic_docs / (toxic_docs + clean_docs)
-        own = F.col("t") / (F.col("t") + F.col("c"))
+        # Weighted counts add up to the number of rows that were read.
+        scale = (toxic_docs + clean_docs) / (toxic_docs * per_row[1] + clean_docs * per_row[0])
+        t, c = F.col("t") * F.lit(scale * per_row[1]), F.col("c") * F.lit(scale * per_row[0])
+        share = toxic_docs * per_row[1] * scale / (toxic_docs + clean_docs)
+        own = t / (t + c)
         # Evidence: how much likelier the split of t + c documents is at the word's own rate than at the classes' shares.
-        gain = F.col("t") * F.log(own / share) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - own) / (1 - share))).otherwise(0.0)
+        gain = t * F.log(own / share) + F.when(F.col("c") > 0, c * F.log((1 - own) / (1 - share))).otherwise(0.0)
         weight = F.log((F.col("t") + 0.5) / (toxic_docs + 1)) - F.log((F.col("c") + 0.5) / (clean_docs + 1))
         fixed = [w.encode() for w in TARGET | NEGATION | REPORT | THREAT]
         best = counts.where((F.length("word") > 0) & ~F.col("word").isin(fixed)).select("word", "t", gain.alias("gain"), weight.alias("weight"))
@@ -301,7 +307,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     got = sorted(tuple(r) for r in got)
     if len({r[0] for r in got}) < 2:
         return ToxicityModel(insult, [1.0, 0.5, 0.0], -3.0)
-    return ToxicityModel(insult, *logistic(np.array([r[1:4] for r in got]), np.array([float(r[0]) for r in got]), np.array([float(r[4]) for r in got])))
+    seen = [sum(r[4] for r in got if r[0] == y) for y in (0, 1)]
+    scale = sum(seen) / (seen[0] * per_row[0] + seen[1] * per_row[1])
+    return ToxicityModel(insult, *logistic(np.array([r[1:4] for r in got]), np.array([float(r[0]) for r in got]), np.array([r[4] * per_row[r[0]] * scale for r in got])))
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:

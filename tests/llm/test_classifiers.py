@@ -184,3 +184,14 @@ def test_split_hash_is_crc32_of_the_decimal_id(spark):
     import zlib
 
     assert [r[0] for r in spark.range(50).select(doc_hash("id")).collect()] == [zlib.crc32(str(i).encode()) for i in range(50)]
+
+
+def test_toxicity_odds_do_not_depend_on_thinning(spark):
+    rnd = random.Random(12)
+    texts = [words(rnd, ["er", "on", "th", "la"], 12) + (" scumface" if i < 1000 and i % 5 < 3 else "") for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(5000)], "doc_id long, toxic int")
+    whole, thinned = (toxicity.fit(docs, labels, sample=n) for n in (20_000, 500))
+    assert b"scumface" in thinned.lexicon.insult
+    assert thinned.score("er on th la") == pytest.approx(whole.score("er on th la"), abs=0.06)
+    assert whole.score("er on th la") < 0.12
