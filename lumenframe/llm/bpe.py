@@ -94,8 +94,9 @@ def merge_word(voc: Vocabulary, piece: bytes) -> list[int]:
     if n < 2:
         return sym
     width = 1 << (n - 1).bit_length()
-    none = int(NO_PAIR)
     size, ranks, made = voc.size, voc.ranks, voc.made
+    # Above every key, whatever the width.
+    none = len(made) * width
     tree = [none] * (2 * width)
     for i in range(n - 1):
         r = ranks.get(sym[i] * size + sym[i + 1])

@@ -82,3 +82,11 @@ def test_query(spark, sf, library):
     assert len(got) == len(text)
     for r in got:
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want(library, text[r.doc_id]))).encode()).hexdigest()
+
+
+def test_keys_of_the_scalar_tree_have_no_limit(monkeypatch, encoder):
+    piece = b"international" * 20
+    want = bpe.merge_word(encoder.voc, piece)
+    # A limit this low stands for a piece of many megabytes.
+    monkeypatch.setattr(bpe, "NO_PAIR", np.int64(1) << 10)
+    assert bpe.merge_word(encoder.voc, piece) == want and len(want) < len(piece)
