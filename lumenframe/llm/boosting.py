@@ -16,6 +16,10 @@ class BoostedTrees:
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         code = np.column_stack([np.searchsorted(q, c, side="left") for q, c in zip(cuts, x.T)])
         n, d = x.shape
+        # One histogram holds the bins of all features, one after another; a feature's bin past its last cut is no place to cut.
+        width = max(map(len, cuts), default=0) + 1
+        place = code + np.arange(d) * width
+        open_ = np.arange(width)[None, :] < np.array([len(q) for q in cuts])[:, None]
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         margin = np.full(n, self.base)
@@ -29,20 +33,16 @@ class BoostedTrees:
                 first = 2**level - 1
                 for k in range(first, 2 * first + 1):
                     rows = np.flatnonzero(node == k)
-                    best = (1e-6, 0, np.inf, 0)
-                    if len(rows) > 10:
+                    best = (1e-6, 0, np.inf)
+                    if len(rows) > 10 and width > 1:
                         g, h = grad[rows], hess[rows]
                         total_g, total_h = g.sum(), h.sum()
-                        for f in range(d):
-                            if not len(cuts[f]):
-                                continue
-                            c = code[rows, f]
-                            left_g = np.cumsum(np.bincount(c, g, len(cuts[f]) + 1))[:-1]
-                            left_h = np.cumsum(np.bincount(c, h, len(cuts[f]) + 1))[:-1]
-                            gain = left_g**2 / (left_h + self.ridge) + (total_g - left_g) ** 2 / (total_h - left_h + self.ridge) - total_g**2 / (total_h + self.ridge)
-                            at = int(np.argmax(gain))
-                            if gain[at] > best[0]:
-                                best = (float(gain[at]), f, float(cuts[f][at]), at)
+                        bins = place[rows].ravel()
+                        left_g, left_h = (np.cumsum(np.bincount(bins, np.repeat(v, d), d * width).reshape(d, width), axis=1) for v in (g, h))
+                        gain = left_g**2 / (left_h + self.ridge) + (total_g - left_g) ** 2 / (total_h - left_h + self.ridge) - total_g**2 / (total_h + self.ridge)
+                        f, at = divmod(int(np.argmax(np.where(open_, gain, -np.inf))), width)
+                        if gain[f, at] > best[0]:
+                            best = (float(gain[f, at]), f, float(cuts[f][at]))
                     feature[k], cut[k] = best[1], best[2]
                     node[rows] = 2 * k + 1 + (x[rows, best[1]] > best[2])
             leaf = node - (2**self.depth - 1)
