@@ -18,8 +18,10 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Rows per Arrow batch handed to Python.  Texts may be long, so batches are short.
+#: Rows that an operator's function sees at once.  Spark's own batches, which it bounds by bytes, are cut into such pieces;
+#: no setting of the session is touched.
 BATCH_ROWS = 512
 
 _SHIPPED: set[str] = set()
@@ -90,6 +92,12 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def stream(
     df: DataFrame,
     fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]],
@@ -99,14 +107,13 @@ def stream(
     """`fn` maps an iterator of {column: list} batches to batches of `schema` (lists, numpy or Arrow arrays); Arrow carries them."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (dict(zip(b.schema.names, (c.to_pylist() for c in b.columns))) for b in batches)
+        rows = (dict(zip(b.schema.names, (c.to_pylist() for c in b.columns))) for b in pieces(batches, batch_rows))
         for cols in fn(rows):
             arrays = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type) for f in out]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
@@ -117,12 +124,11 @@ def stream(
 def pick_rows(df: DataFrame, text: str, start: Callable[[], Callable[[list], list[bool]]], batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The rows of `df`, all columns as they are, whose text passes; `start()` makes the test once in each task."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = start()
-        for b in batches:
+        for b in pieces(batches, batch_rows):
             yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -131,12 +137,11 @@ def pick_rows(df: DataFrame, text: str, start: Callable[[], Callable[[list], lis
 def map_text(df: DataFrame, text: str, start: Callable[[], Callable[[list], list]], length: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The rows of `df` with their texts rewritten, and the column `length`, if there, set to the new lengths."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = start()
-        for b in batches:
+        for b in pieces(batches, batch_rows):
             columns = list(b.columns)
             new = rewrite(b.column(names.index(text)).to_pylist())
             columns[names.index(text)] = pa.array(new, b.schema.field(names.index(text)).type)
@@ -149,26 +154,30 @@ def map_text(df: DataFrame, text: str, start: Callable[[], Callable[[list], list
 
 
 def doc_hash(key: str = "doc_id"):
-    """crc32 of the id as text: the split and sampling key that every engine computes alike."""
+    """crc32 of the id as text: the split and sampling key that every engine computes alike; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
 
-#: Classes that a sample covers, the most frequent first.
-MOST_CLASSES = 1000
+def held_out(of: int, remainder: int, key: str = "doc_id"):
+    """Whether the hash leaves `remainder`; a row without an id is in no fold."""
+    return F.coalesce(doc_hash(key) % of == remainder, F.lit(False))
 
 
 def sample_by_class(rows: DataFrame, cls: str, cap: int, key: str = "doc_id", total: int | None = None) -> DataFrame:
-    """About `cap` rows of each class (fewer where `total` rows in all would be passed), chosen by a hash of the key.
+    """`cap` rows of each class, or all it has; with `total` about so many in all, but one of each class at least.
 
-    Two passes over (key, class) only: counts for each class with map-side
-    combine, then a hash threshold of cap/count for each class; a row is in or
-    out by its own hash, so no class meets in one task.
+    The rows of the least hashes of the key stay.  Counts of the classes combine
+    before the shuffle; a threshold on the hash, wide enough to leave `cap` rows
+    of a class for sure, thins a large class where it is read, so ranking sees
+    few rows of it.
     """
-    counted = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), cls).limit(MOST_CLASSES).collect()
-    if total is not None and counted:
-        cap = max(1, min(cap, total // len(counted)))
-    keep = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20))
-    for value, n in counted:
-        keep = keep | (F.col(cls).eqNullSafe(F.lit(value)) & (draw < F.lit(int(min(1.0, cap / max(n, 1)) * (1 << 20)))))
-    return rows.where(keep)
+    counted = rows.groupBy(cls).agg(F.count(F.lit(1)).alias("__n"))
+    if total is not None:
+        cap = max(1, min(cap, total // max(1, counted.count())))
+    wide = cap + 6 * int(cap**0.5) + 20
+    counted = counted.select(F.col(cls).alias("__cls"), "__n")
+    dealt = rows.withColumn("__draw", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40)))
+    # Classes are few beside rows; which side is sent around is left to Spark, which knows their number at run time.
+    near = dealt.join(counted, F.col(cls).eqNullSafe(F.col("__cls"))).where(F.col("__draw") * F.col("__n").cast("double") <= F.lit(float(wide) * (1 << 40)))
+    least = Window.partitionBy(cls).orderBy("__draw", key)
+    return near.withColumn("__rank", F.row_number().over(least)).where(F.col("__rank") <= cap).select(*rows.columns)

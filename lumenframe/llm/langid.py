@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import doc_hash, sample_by_class, stream, table
+from ._common import doc_hash, held_out, sample_by_class, stream, table
 
 #: Labelled rows of each language that the fit reads, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 250, 40
@@ -237,4 +237,4 @@ def identify(docs: DataFrame, model: KernelModel, key: str = "doc_id", text: str
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(docs.where(doc_hash() % 3 != 1))
-    return identify(docs, model).select("doc_id", (doc_hash() % 3 == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ._common import doc_hash, pick_rows, sample_by_class, stream, table
+from ._common import doc_hash, held_out, pick_rows, sample_by_class, stream, table
 
 #: Labelled documents of each class that the fit reads.
 SAMPLE = 1200
@@ -199,4 +199,4 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").where(doc_hash() % 5 != 0)
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", (doc_hash() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

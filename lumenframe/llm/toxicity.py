@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, doc_hash, sample_by_class, stream, table
+from ._common import Scratch, doc_hash, held_out, sample_by_class, stream, table
 
 #: Labelled documents of each class that the fit reads, and most learned words.
 SAMPLE, LEXICON = 20_000, 2_000
@@ -328,4 +328,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").where(doc_hash() % 3 != 1)
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", (doc_hash() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -176,8 +176,14 @@ def test_stems_that_one_word_explains_are_dropped():
 def test_sampling_by_class_is_bounded_and_stable(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
     picked = sample_by_class(df, "y", 300)
-    n = {r.y: r["count"] for r in picked.groupBy("y").count().collect()}
-    assert all(200 < v < 420 for v in n.values()) and sorted(r[0] for r in picked.collect()) == sorted(r[0] for r in sample_by_class(df.repartition(7), "y", 300).collect())
+    assert {r.y: r["count"] for r in picked.groupBy("y").count().collect()} == {0: 300, 1: 300}
+    assert sorted(r[0] for r in picked.collect()) == sorted(r[0] for r in sample_by_class(df.repartition(7), "y", 300).collect())
+
+
+def test_every_class_is_sampled_however_many_there_are(spark):
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("k"), F.col("id") % 3000)).alias("y"))
+    picked = sample_by_class(df, "y", 250, total=1000).groupBy("y").count().collect()
+    assert len(picked) == df.select("y").distinct().count() > 2000 and {r["count"] for r in picked} == {1}
 
 
 def test_split_hash_is_crc32_of_the_decimal_id(spark):
