@@ -47,4 +47,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = scratch.keep(found, "components")
+    scratch.drop(e)
+    return out

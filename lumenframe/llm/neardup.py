@@ -1,37 +1,46 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
-A document's signature holds minimum values of its shingle set under
-independent permutations; a coordinate is a run of `ROWS` of them.  Every class
-of equal sets is posted under each coordinate-value pair.  Instead of
-expanding a posting list into all pairs, the join runs in two rounds:
-
-1. each member of a list is paired with the list's smallest member only.  Pairs
-   whose signatures agree in too few minima are dropped, the others are
-   confirmed on their full sets, and confirmed pairs merge into components;
-2. members that round 1 has merged are skipped: only lists that still hold two
-   components are opened, and only pairs across components are made there.
-   Members of whose minima too few occur in another component leave first.  The
-   others are joined by prefixes of their full sets: shingles found in one
-   component only come first, then the rarer before the commoner, and a member
-   is posted under a shingle only while enough shingles follow it to reach the
-   threshold.  A pair needs that on both sides.  Copies that differ from each
-   other a little too much use up their prefix on their own changes, so they are
-   never paired, however many they are; and no pair that is linked is left out.
-
-A pair that shares too few minima is not confirmed; a linked pair is missed only
-if its signatures share no coordinate or far fewer minima than its similarity
-gives: below one in a million at the threshold itself, and less above it.
+A document's signature holds the minimum of its shingle set under each of
+MINIMA permutations; a pair of similarity s agrees in each with probability s.
+Every class of equal sets is posted under coordinate-value pairs, and collisions
+are counted: a pair at the threshold has at least `least_matches` equal minima
+but for a chance of MISS, so one with fewer is no link.
+
+*Prefix.*  A pair with T of MINIMA equal coordinates has one among any
+MINIMA - T + 1, so classes are posted under so many coordinates only, and a pair
+needs least_matches of those.  *Skip.*  The lists of the other coordinates are
+never merged; they are looked up, as signatures, for the pairs that the counted
+lists leave.  A posting list is not expanded into all pairs either; the join runs
+in two rounds:
+
+1. each member of a list collides with the list's first member only.  Collisions
+   are added up over the lists, pairs that reach the threshold are looked up in
+   the skipped coordinates, confirmed on their full sets, and merge into
+   components;
+2. collisions inside of a component are skipped: only lists that still hold two
+   components count, and a member leaves that has too few of them.  What is left
+   is joined by prefixes of the full sets: shingles found in one component only
+   come first, then the rarer before the commoner, and a member is posted under
+   a shingle only while enough shingles follow it to reach the threshold.  A pair
+   needs that on both sides.  Copies that differ from each other a little too
+   much use up their prefix on their own changes, so they are never paired,
+   however many they are; and no pair that is linked is left out.  Pairs then
+   pass the same lookup and confirmation.
 
 Edge cases: a null, empty or blank text has the empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is one shingle;
 equal texts are one class, so ties and repeated rows cost nothing; rows that
-share a doc_id count as one document; a null doc_id is linked with nothing, has
-a null component and is kept; an empty table gives an empty result; columns
-other than doc_id and text are not read.
+share a doc_id but not a text are documents of their own; a null doc_id is
+linked with nothing, has a null component and is kept; an empty table gives an
+empty result; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +50,43 @@ from ._common import Scratch, stream, table
 from .graph import components
 from .shingles import Minima, fingerprint, shingle_set
 
-COORDINATES, ROWS = 28, 3
+#: Coordinates of a signature, and the greatest chance to miss a pair at the threshold by any one count.
+MINIMA, MISS = 64, 1e-7
+
+
+def least_matches(share: float, count: int) -> int:
+    """Greatest h with P(Binomial(count, share) < h) <= MISS, 1 at least."""
+    below, h = 0.0, 0
+    while h < count:
+        below += math.comb(count, h) * share**h * (1 - share) ** (count - h)
+        if below > MISS:
+            break
+        h += 1
+    return max(1, h)
+
 
+def prefix(share: float) -> int:
+    """The number of coordinates that are posted."""
+    return MINIMA - least_matches(share, MINIMA) + 1
 
-def least_matches(share: float, count: int = COORDINATES * ROWS) -> int:
-    """Fewest equal minima that a pair at `share` has, but for six deviations."""
-    return int(count * share - 6 * (count * share * (1 - share)) ** 0.5)
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, fp, sig (both null for the empty set)."""
+    """doc_id, tag (of the text), n_shingles, fp, sig (both null for the empty set)."""
 
     def run(batches):
-        minima = Minima(COORDINATES * ROWS)
+        minima = Minima(MINIMA)
         for rows in batches:
-            out = {"doc_id": rows["doc_id"], "n_shingles": [], "fp": [], "sig": []}
+            out = {"doc_id": rows["doc_id"], "tag": rows["tag"], "n_shingles": [], "fp": [], "sig": []}
             for text in rows["text"]:
                 s = shingle_set(text, n)
                 out["n_shingles"].append(len(s))
@@ -63,42 +94,48 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 out["sig"].append(minima.of(s).tobytes() if len(s) else None)
             yield out
 
-    return stream(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, fp binary, sig binary")
-
+    tagged = docs.select("doc_id", F.unhex(F.md5("text")).alias("tag"), "text")
+    return stream(tagged, run, "doc_id long, tag binary, n_shingles long, fp binary, sig binary")
 
-def coordinates(sig: str = "sig"):
-    width = 4 * ROWS
-    return F.array(*(F.xxhash64(F.substring(sig, 1 + width * i, width), F.lit(i)) for i in range(COORDINATES)))
 
-
-def _agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures share at least `least` minima."""
+def _looked_up(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) with at least `least` equal coordinates of all, the skipped ones included."""
 
     def run(batches):
         for rows in batches:
-            if not rows["a"]:
-                continue
             x = np.frombuffer(b"".join(rows["sa"]), np.uint32).reshape(len(rows["sa"]), -1)
             y = np.frombuffer(b"".join(rows["sb"]), np.uint32).reshape(len(rows["sb"]), -1)
             good = np.flatnonzero((x == y).sum(axis=1) >= least).tolist()
             yield {k: [rows[k][i] for i in good] for k in ("a", "b")}
 
-    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    return stream(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long", 4096).distinct()
+    left = reps.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
+    right = reps.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    return stream(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long", 4096)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) with den * |intersection| >= num * |union| of the full sets."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+def _full_sets(nodes: DataFrame, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """node, set (sorted distinct shingle hashes as bytes) of nodes (node, doc_id, fp)."""
+    nodes = scratch.keep(nodes, "nodes")
 
     def sets(batches):
         for rows in batches:
-            yield {"id": rows["doc_id"], "set": [shingle_set(t, n).tobytes() for t in rows["text"]]}
+            held = [shingle_set(t, n) for t in rows["text"]]
+            yield {"doc_id": rows["doc_id"], "fp": [fingerprint(s) if len(s) else None for s in held], "set": [s.tobytes() for s in held]}
+
+    # A Bloom filter of the ids, built at run time, keeps other texts out of the shuffle; any size of the other side makes it worth while.
+    with _setting(docs.sparkSession, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0"):
+        mine = docs.select("doc_id", "text").join(nodes.select("doc_id").where(F.col("doc_id") > F.lit(-(1 << 63))), "doc_id", "left_semi")
+        # Repeated rows of a text become one before the join, which needs the same shuffle.
+        held = stream(mine, sets, "doc_id long, fp binary, set binary").groupBy("doc_id", "fp").agg(F.first("set").alias("set"))
+        out = scratch.keep(held.join(nodes, ["doc_id", "fp"]).select("node", "set"), "sets")
+    scratch.drop(nodes)
+    return out
 
-    # The Bloom filter of the ids, built at run time, keeps other texts out of the shuffle.
-    mine = docs.select("doc_id", "text").join(ids.where(F.col("doc_id") > F.lit(-(1 << 63))), "doc_id", "left_semi")
-    held = scratch.keep(stream(mine, sets, "id long, set binary"), "sets")
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b), as (u, v), with den * |intersection| >= num * |union| of the full sets."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    held = _full_sets(ends.join(reps.select("node", "doc_id", "fp"), "node"), docs, n, scratch)
 
     def same(batches):
         for rows in batches:
@@ -110,10 +147,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, sc
                     good.append(i)
             yield {k: [rows[j][i] for i in good] for k, j in (("u", "a"), ("v", "b"))}
 
-    left = held.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = held.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    left = held.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    right = held.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     out = scratch.keep(stream(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), same, "u long, v long", 64), "links")
-    scratch.drop(ids)
     scratch.drop(held)
     return out
 
@@ -127,95 +163,129 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
     return ends.where("low <> high").select(key, "n")
 
 
-def _across(named: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) across components that share a posting list of `named` (key, rep, comp) and could be linked.
+def _across(posts: DataFrame, merged: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """Pairs (a, b) of different components that could be linked; None where there are none for sure.
 
     What is joined back to rows is written down first: with an aggregate right below, a join could not be split where a value is hot.
     """
+    named = posts.join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     named = scratch.keep(named, "named")
-    lists = scratch.keep(named.join(scratch.keep(_mixed(named, "key"), "keys").select("key"), "key").select("key", "rep", "comp"), "mixed")
+    keys = scratch.keep(_mixed(named, "key"), "keys")
+    lists = scratch.keep(named.join(keys.select("key"), "key"), "lists")
     scratch.drop(named)
-    members = lists.select("rep", "comp").distinct()
-    minima = F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.lit(i)) for i in range(COORDINATES * ROWS)))
-    held = members.join(reps.select("rep", "sig"), "rep").select("rep", "comp", F.explode(minima).alias("g"))
-    near = held.join(scratch.keep(_mixed(held, "g"), "minima").select("g"), "g").groupBy("rep", "comp").agg(F.count(F.lit(1)).alias("n"))
-    near = scratch.keep(near.where(F.col("n") >= least_matches(num / den)).select("rep", "comp"), "near")
+    scratch.drop(keys)
+    # Collisions with other components: a member's lists that hold one.
+    near = lists.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_matches(num / den, prefix(num / den)))
+    near = scratch.keep(near.join(reps.select("node", "doc_id", "fp", "size"), "node").drop("n"), "near")
     if near.isEmpty():
-        return near.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+        scratch.drop(lists)
+        return None
+    sets = _full_sets(near.select("node", "doc_id", "fp"), docs, n, scratch)
 
-    def shingles(batches):
+    def spread(batches):
         for rows in batches:
-            yield {"rep": rows["doc_id"], "g": [shingle_set(t, n).view(np.int64).tolist() for t in rows["text"]]}
+            yield {"node": rows["node"], "g": [np.frombuffer(x, np.int64).tolist() for x in rows["set"]]}
 
-    # The Bloom filter of the few ids left, built at run time, keeps other texts out of the shuffle.
-    texts = docs.join(near.where(F.col("rep") > F.lit(-(1 << 63))).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = scratch.keep(stream(texts, shingles, "rep long, g array<long>", 64).join(near, "rep").withColumn("size", F.size("g")), "sets")
-    sized = scratch.keep(lists.join(sets.select("rep", "size"), "rep").select("key", "rep", "size"), "sized")
+    sized = scratch.keep(lists.join(near.select("node", "size"), "node").select("key", "node", "size"), "sized")
+    scratch.drop(lists)
     lows = scratch.keep(sized.groupBy("key").agg(F.min("size").alias("low")), "lows")
-    smallest = sized.join(lows, "key").groupBy("rep").agg(F.min("low").alias("low"))
+    smallest = sized.join(lows, "key").groupBy("node").agg(F.min("low").alias("low"))
 
     # Positions: shingles of one component first, then by number of holders.
-    rows = sets.select("rep", "comp", F.explode("g").alias("g"))
-    common = rows.join(scratch.keep(_mixed(rows, "g"), "shared"), "g").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("common"))
-    placed = sets.select("rep", "comp", "size").join(common, "rep").join(smallest, "rep")
+    rows = stream(sets, spread, "node long, g array<long>", 64).join(near.select("node", "comp"), "node").select("node", "comp", F.explode("g").alias("g"))
+    shared = scratch.keep(_mixed(rows, "g"), "shared")
+    common = rows.join(shared, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("common"))
+    placed = near.select("node", "comp", "size").join(common, "node").join(smallest, "node")
     least = F.ceil(F.lit(num) * (F.col("size") + F.greatest("low", F.ceil(F.lit(num) * F.col("size") / F.lit(den)))) / F.lit(num + den))
     own = F.col("size") - F.size("common")
-    posts = placed.withColumn("own", own).withColumn("long", (F.col("size") - least + 1 - own).cast("int")).where("long > 0")
-    posts = posts.select("rep", "comp", "size", "own", F.posexplode(F.expr("slice(common, 1, long)")).alias("i", "c")).select(F.col("c.g").alias("g"), "rep", "comp", "size", (F.col("size") - F.col("own") - F.col("i")).alias("rest"))
-    posts = scratch.keep(posts, "prefixes")
-    posts = posts.join(scratch.keep(_mixed(posts, "g"), "met").select("g"), "g")
-    x, y = (posts.select("g", *(F.col(c).alias(c + k) for c in ("rep", "comp", "size", "rest"))) for k in "ab")
-    pair = (F.col("repa") < F.col("repb")) & (F.col("compa") != F.col("compb")) & (F.lit(num + den) * F.least("resta", "restb") >= F.lit(num) * (F.col("sizea") + F.col("sizeb")))
-    out = scratch.keep(x.join(y, "g").where(pair).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct(), "across")
-    for t in (lists, near, sets):
+    placed = placed.withColumn("own", own).withColumn("long", (F.col("size") - least + 1 - own).cast("int")).where("long > 0")
+    placed = placed.select("node", "comp", "size", "own", F.posexplode(F.expr("slice(common, 1, long)")).alias("i", "c"))
+    prefixes = scratch.keep(placed.select(F.col("c.g").alias("g"), "node", "comp", "size", (F.col("size") - F.col("own") - F.col("i")).alias("rest")), "prefixes")
+    met = scratch.keep(_mixed(prefixes, "g"), "met")
+    prefixed = prefixes.join(met.select("g"), "g")
+    x, y = (prefixed.select("g", *(F.col(c).alias(c + k) for c in ("node", "comp", "size", "rest"))) for k in "ab")
+    pair = (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & (F.lit(num + den) * F.least("resta", "restb") >= F.lit(num) * (F.col("sizea") + F.col("sizeb")))
+    out = scratch.keep(x.join(y, "g").where(pair).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), "across")
+    for t in (near, sets, sized, lows, shared, prefixes, met):
         scratch.drop(t)
     return out
 
 
-def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classes(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, n_shingles, fp of every row; fp, part, component_id of every class of equal sets, part being one number for each component)."""
+    share = num / den
     all_sigs = scratch.keep(signatures(docs, n), "signatures")
     some = all_sigs.where("fp is not null and doc_id is not null")
-    reps = scratch.keep(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    posts = reps.select("rep", F.explode(coordinates()).alias("key"))
-    least = least_matches(num / den)
+    # A class is a node; its number is fixed by being written down.
+    reps = some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    reps = scratch.keep(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+    coordinates = F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.lit(i)) for i in range(prefix(share))))
+    posts = reps.select("node", F.explode(coordinates).alias("key"))
 
-    low = scratch.keep(posts.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "low")
+    low = scratch.keep(posts.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "low")
     # Lists of one member hold no pair; only the others are written down, once for both rounds.
     posts = scratch.keep(posts.join(low, "key"), "posts")
-    star = posts.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    # The ids' Bloom filter below comes from small tables; any size of the other side makes it worth while.
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    first = _confirmed(scratch.keep(_agreeing(star, reps, least), "stars"), docs, n, num, den, scratch)
-    merged = scratch.keep(components(first, scratch), "merged")
-
-    named = posts.join(merged, posts.rep == merged.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    rest = scratch.keep(_agreeing(_across(named, reps, docs, n, num, den, scratch), reps, least), "rest")
+    star = posts.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    star = star.where(F.col("n") >= least_matches(share, prefix(share))).select("a", "b")
+    pairs = scratch.keep(_looked_up(star, reps, least_matches(share, MINIMA)), "stars")
+    links = _confirmed(pairs, reps, docs, n, num, den, scratch)
+    merged = components(links, scratch)
+    scratch.drop(pairs)
+
+    rest = _across(posts.select("key", "node"), merged, reps, docs, n, num, den, scratch)
+    scratch.drop(low)
     scratch.drop(posts)
-    if not rest.isEmpty():
-        links = first.unionByName(_confirmed(rest, docs, n, num, den, scratch))
-        merged = scratch.keep(components(links, scratch), "merged")
+    if rest is not None:
+        pairs = scratch.keep(_looked_up(rest, reps, least_matches(share, MINIMA)), "rest")
+        scratch.drop(rest)
+        more = _confirmed(pairs, reps, docs, n, num, den, scratch)
+        scratch.drop(merged)
+        merged = components(links.unionByName(more), scratch)
+        scratch.drop(pairs)
+        scratch.drop(more)
+    scratch.drop(links)
+
+    members = scratch.keep(merged.join(reps.select("node", "doc_id", "fp"), "node"), "members")
+    names = scratch.keep(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
+    named = members.join(names, "component").select("fp", F.col("component").alias("part"), "component_id")
+    alone = reps.join(merged.select("node"), "node", "left_anti").select("fp", F.col("node").alias("part"), F.col("doc_id").alias("component_id"))
+    classes = scratch.keep(named.unionByName(alone), "components")
+    for t in (merged, members, names, reps):
+        scratch.drop(t)
+    return all_sigs.drop("sig"), classes
 
-    classes = reps.join(merged, reps.rep == merged.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    found = some.select("doc_id", "n_shingles", "fp").join(classes, "fp").select("doc_id", "n_shingles", "component_id")
-    alone = all_sigs.where("fp is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+
+def link(docs: DataFrame, n: int = 3, num: int = 85, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
+    scratch = scratch or Scratch(docs.sparkSession, "neardup")
+    rows, classes = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den, scratch)
+    some = "fp is not null and doc_id is not null"
+    found = rows.where(some).join(classes, "fp").select("doc_id", "n_shingles", "component_id")
+    alone = rows.where(f"not ({some})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of every group of near-duplicates, all columns as they are.
 
-    The row of the smallest doc_id stays; of rows that repeat it, the first by text.  Rows without a doc_id stay.
+    The row of the smallest doc_id stays, and of several such the first by text
+    and then by its other columns.  Rows without a doc_id and rows without a word
+    all stay; so do unlike texts under one doc_id.
     """
-    kept = link(docs.select("doc_id", "text"), n, num, den).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null")
-    named = named.join(kept, named.doc_id.cast("long") == kept["__kept"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return named.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "keepone")
+    rows, classes = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den, scratch)
+    linked = rows.where("fp is not null and doc_id is not null").join(classes, "fp")
+    first = linked.groupBy("part").agg(F.min(F.struct("doc_id", "tag")).alias("least")).select("least.*")
+    first = scratch.keep(first.select(F.col("doc_id").alias("__kept"), F.col("tag").alias("__tag")), "kept")
+    # As `words` has it: anything but ASCII white space is a word.
+    free = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (F.unhex(F.md5("text")) == F.col("__tag"))
+    chosen = docs.where(~free).join(first, same, "left_semi")
+    # Only repeated rows are left to choose from, and a limit of one a group is kept before the shuffle too.
+    row = "__row" + "_" * max(map(len, docs.columns))
+    order = Window.partitionBy("doc_id", F.md5("text")).orderBy(*(F.col(c).cast("string") for c in docs.columns))
+    one = chosen.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
+    return one.unionByName(docs.where(free))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import duckdb
@@ -69,6 +70,39 @@ def test_keep_one_keeps_columns_and_one_row(spark):
     assert out.columns == ["doc_id", "text", "component_id"] and sorted((r.doc_id or -1, r.component_id) for r in out.collect()) == [(-1, "z"), (1, "y"), (4, "n")]
 
 
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (0, "h i j k l m n", "x"), (2, "a b c d e f g", "x"), (5, "o p q r s", "__row"), (5, "t u v w x", "__row"), (6, " ", "b"), (6, " ", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.link(df, 5, 80, 100).collect())
+    assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True)]
+    out = neardup.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]])
+
+
+def test_equal_texts_with_other_columns_are_chosen_alike(spark):
+    rows = [(3, "a b c d e f g", c, n) for c in "zbq" for n in (2, 1)]
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(parts)
+        assert [tuple(r) for r in neardup.keep_one(df).collect()] == [(3, "a b c d e f g", "b", 1)]
+
+
+def test_thresholds_of_collisions_miss_hardly_any_pair():
+    for share in (0.8, 0.85):
+        for count in (neardup.MINIMA, neardup.prefix(share)):
+            least = neardup.least_matches(share, count)
+            below = sum(math.comb(count, i) * share**i * (1 - share) ** (count - i) for i in range(least))
+            assert 1 < least < count and below <= neardup.MISS
+        # Any pair with the least number of equal coordinates has one among the posted ones.
+        assert neardup.MINIMA - neardup.prefix(share) < neardup.least_matches(share, neardup.MINIMA)
+
+
+def test_settings_of_the_session_stay(spark):
+    before = dict(spark.sparkContext.getConf().getAll()) | {k: spark.conf.get(k, None) for k in ("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    linked(spark, corpus(4, 5), 3, 85, 100)
+    assert all(spark.conf.get(k, None) == v for k, v in before.items() if k.startswith("spark.sql"))
+
+
 def test_one_very_long_document(spark):
     rnd = random.Random(3)
     long = [str(rnd.randrange(10**6)) for _ in range(30_000)]
