@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -113,3 +114,58 @@ def test_frames(spark):
 ])
 def test_visible_text_stays(page, text):
     assert render(page) == text
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<style>@media print{p{display:none}}</style><p>a", "a"),
+    ("<div style='visibility:hidden'>n<b style='visibility:visible'>a</b>n</div>", "a"),
+    ("<style>p{display:none}</style><p>n</p><p style='display:block'>a</p>", "a"),
+    ("<style>p{display:none!important}</style><p style='display:block'>n</p><p style='display:block!important'>a</p>", "a"),
+    ("<style>div.h{display:none} .a .b{visibility:hidden}</style><div class=h>n</div><p class=h>x</p><div class=a><i><b class=b>n</b></i></div><b class=b>y</b>", "x\n\ny"),
+    ("<style>.a>.b{display:none}</style><div class=a><p><b class=b>x</b></p><b class=b>n</b></div>", "x"),
+    ("<style>h1+p,h2~p{display:none}</style><h1>h</h1><p>n</p><p>x</p><h2>i</h2><div>d</div><p>n</p>", "h\n\nx\n\ni\n\nd"),
+    ("<style>[data-x],input[type='hidden'],[lang|=en],a[href^='no']{display:none}</style><p data-x=1>n</p><p lang=en-GB>n</p><a href=no/1>n</a><a href=yes>x</a>", "x"),
+    ("<style>#i{display:block} .c{display:none} p{display:none}</style><p id=i class=c>x</p><p class=c>n</p>", "x"),
+    ("<style>.c{display:none} .c{display:block}</style><p class=c>x</p>", "x"),
+    ("<p class=late>n</p>x<style>.late{display:none}</style>", "x"),
+    ("<style>div{display:block}</style><div hidden>x</div><p hidden>n</p>", "x"),
+    ("<style>p:hover,p::before,:not(p){display:none}</style><p>x</p>y", "x\n\ny"),
+    ("<style>*{visibility:hidden} b{visibility:visible}</style><p>n<b>x</b></p>", "x"),
+    ("<ul style='visibility:hidden'><li>n<li style='visibility:visible'>x</ul>", "- x"),
+    ("<style>b{display:block}li{display:inline}</style>1<b>2</b>3<ul><li>a</li> <li>b</li></ul>", "1\n2\n3\n\na b"),
+    ("<style>p{content:'}display:none'} .x{display:none}</style><p>a</p><p class=x>n</p>", "a"),
+    ("<p class=A>x</p><style>.a{display:none}</style>", "x"),
+])
+def test_cascade(page, text):
+    assert render(page) == text
+
+
+def test_wide_cells_are_aligned():
+    for n in (40, 41, 500):
+        long = "x" * n
+        assert render(f"<table><tr><td>{long}<td>b<tr><td>a<td>c</table>") == f"{long}  b\na{' ' * (n + 1)}c"
+    # One cell is too wide for the page; the others are aligned all the same.
+    page = "<table><tr><td>" + "x" * 200_000 + "<td>y" + "<tr><td>abc<td>b<tr><td>a<td>d" * 3000 + "</table>"
+    lines = render(page).split("\n")
+    assert lines[0] == "x" * 200_000 + "  y" and lines[1:3] == ["abc  b", "a    d"]
+
+
+def test_lists_of_any_depth():
+    deep = render("<ul><li>t" * 400)
+    assert [line.rstrip() for line in deep.split("\n")] == ["  " * i + "- t" for i in range(400)]
+    assert render("<blockquote>" * 300 + "q") == "  " * 300 + "q"
+    hostile = render("<ul><li>t" * 30_000).split("\n")
+    assert len(hostile) == 30_000 and hostile[-1] == "{59998} - t"
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<p><div>", "<b>", "<ul><li>", "<ul><li>t", "<table><tr><td>", "<table><tr><td>a<td>", "<blockquote>q", "<svg><g>", "<span class=a>", "<p>", "<dl><dd>", "<a '\"><i>", "<a x=\" y=' >"])
+def test_markup_takes_linear_time(opened):
+    def seconds(n):
+        page = "<style>.a .a,div>div{visibility:visible}</style>" + opened * n + "end"
+        start = time.process_time()
+        assert "end" in render(page)
+        return time.process_time() - start
+
+    seconds(500)
+    few = seconds(10_000)
+    assert seconds(40_000) < 10 * few + 0.5
