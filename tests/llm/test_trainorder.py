@@ -44,6 +44,41 @@ def test_shards_hold_every_sequence_once_at_its_slot(spark):
     assert np.array_equal(resumed, records[-70:])
     about = json.loads(spark.read.text(f"{written.path}/manifest").first()[0])
     assert about["sequences"] == written.size and about["stride"] == written.stride == 8 + 4 + 4 + 32 + 1
+    assert np.array_equal(t.Written.open(spark, written.path).read(0, 10), records[:10])
+
+
+def test_names_of_shards_have_any_number_of_digits():
+    assert t.shard_of("file:/x/part-00003-ab-c001.txt", 32) == 97
+    assert t.shard_of("part-100000-5f-c000.txt", 1) == 100_000
+    assert t.shard_of("part-1234567-5f-11-c1024.txt", 2000) == 1_234_567 * 2000 + 1024
+
+
+def test_ranges_hold_many_shards(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k l m n o p " * 9) for i in range(400)], "doc_id long, text string").coalesce(2)
+    written = t.materialise(docs, Scratch(spark, "t").path("o"), length=8, per_shard=20)
+    assert written.per_range > 1 and len(written._files()[1]) == -(-written.size // 20)
+    assert sorted(r.slot for r in written.index().collect()) == list(range(written.size))
+    assert [(r["doc_id"], r["part"]) for r in written.read(35, 50)] == [(r.doc_id, r.part) for r in written.index().where("slot between 35 and 84").orderBy("slot").collect()]
+    assert all(r.byte_offset == r.slot % 20 * written.stride and r.shard == r.slot // 20 for r in written.index().collect())
+
+
+def test_a_large_vocabulary_has_wider_ids():
+    assert t.record_type(16, 4).itemsize == 16 + 64 + 1 and t.record_type(16).itemsize == 16 + 32 + 1
+
+
+def test_settings_and_splits_stay(spark):
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    with t._same_splits(spark):
+        assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+    assert spark.conf.get(key, None) == before
+
+
+def test_text_of_a_control_token_stays_text(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    ids = t.materialise(docs, Scratch(spark, "t").path("o"), length=16).read(0, 1)[0]
+    enc = t.tokenizer(t.tokenizer_path())
+    assert enc.decode(ids["ids"][: ids["n"]].tolist()) == "a <|endoftext|> b" and ids["n"] > 3
 
 
 def test_order_depends_on_the_key_alone(spark):
