@@ -1,25 +1,37 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause as symbols: targets (you,
-they, names of groups), insults, threats, negation and reported speech.  Each
-rewrites or weighs the symbols that the one before it lets through; composed,
-they are one deterministic machine whose state is the tuple of their states.
-An insult or a threat is a *match* whose weight the machine raises beside a
-target and lowers in the scope of a negation or of reported speech; words
-outside a match weigh nothing.  The score of a document is a calibrated
-logistic of its matches' total and greatest weight and their number.
+Six small transducers read the words of a clause as symbols: negation, reported
+speech, targets (you, they, names of groups), insults, threats, and the clause as
+a whole.  Each rewrites or weighs the symbols that the one before it lets
+through; composed, they are one deterministic machine whose state is the tuple of
+their states, and whose state at the end of a clause tells what the clause is:
+
+* a *threat*: a threatening word after a target;
+* *directed*: an insult close before or behind a target;
+* *compound*: several insults;
+* *plain*: one insult among other words;
+* none of these: no word of the lists, or an insult that stands alone, as in a
+  heading, a list or an answer of one word.  Such a clause weighs nothing.
+
+A matched clause weighs as much as its weightiest word, raised beside a target
+and lowered in the scope of a negation or of reported speech.  The score of a
+document is a logistic of its clauses' total and greatest weight and number, and
+of the total of those that are more than plain: how much a plain clause says, and
+how much more the others do, is learned from the labels.
 
 Function words of the grammar are fixed lists.  The insults are learned: words
 and word stems (the first STEMS bytes) that labelled toxic documents hold far
 more often than clean ones, weighed by the log of that ratio, over a bounded
 sample of labelled rows (SAMPLE of each class).  A word or stem is in only if
-its counts are beyond chance, with the number of candidates allowed for.  Scoring reads every whole text; only texts that hold a pattern word
-are walked, the others have no match by definition.
+its counts are beyond chance, with the number of candidates allowed for.  Scoring
+reads every whole text; only texts that hold a pattern word are walked, the
+others have no match by definition.
 
 Edge cases: null, empty and blank texts have no match; a clause may be of any
 length; without labelled rows the insults are empty and threats alone count;
 ties in the lexicon go to the word that sorts first; repeated rows get equal
-scores; other columns are not read.
+scores; a row without an id is in no fold; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +59,10 @@ TARGET = frozenset("you your yours u he she they them him her his their those th
 NEGATION = frozenset("not never no none isn't aren't don't doesn't wasn't nicht kein keine nie niemals pas jamais aucun nunca jamás".split())
 REPORT = frozenset("said says say saying called calls wrote writes quoted quote quotes claimed reported according alleged sagte sagt schrieb nannte laut dit disait écrit appelé selon dijo dice escribió llamó según".split())
 THREAT = frozenset("kill murder hurt destroy strangle shoot stab beat töten umbringen tuer frapper matar golpear".split())
-#: Symbols: other, insult, threat, target, negation, report, quotation mark.
-OTHER, INSULT, THREAT_, TARGET_, NEGATION_, REPORT_, QUOTE = range(7)
+#: Symbols: other, insult, threat, target, negation, report, quotation mark, insult behind a target.
+OTHER, INSULT, THREAT_, TARGET_, NEGATION_, REPORT_, QUOTE, DIRECTED = range(8)
+#: What a clause is.
+NOTHING, PLAIN, COMPOUND, DIRECT, MENACE = range(5)
 
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»]")
@@ -60,6 +74,9 @@ _CURLY = re.compile("[‐-‟…«» ¡¿]")
 class Transducer:
     """A deterministic weighted transducer: (state, symbol) -> (state, symbol, factor), given as a rule."""
 
+    #: The state of the last transducer of a composition.
+    last = staticmethod(lambda state: state)
+
     def __init__(self, start: tuple, step: Callable):
         self.start, self.step = start, step
 
@@ -72,10 +89,12 @@ class Transducer:
             b, symbol, g = other.step(b, symbol)
             return (a, b), symbol, f * g
 
-        return Transducer((self.start, other.start), step)
+        both = Transducer((self.start, other.start), step)
+        both.last = lambda state: other.last(state[1])
+        return both
 
-    def compiled(self, symbols: int) -> list[list[tuple[int, int, float]]]:
-        """The reachable states as a table [state][symbol] -> (state, symbol, factor)."""
+    def compiled(self, symbols: int, end: Callable) -> tuple[list[list[tuple[int, int, float]]], list[int]]:
+        """The reachable states as a table [state][symbol] -> (state, symbol, factor), and `end` of the last transducer's state for each."""
         index, todo, rows = {self.start: 0}, [self.start], []
         for state in todo:
             row = []
@@ -86,7 +105,7 @@ class Transducer:
                     todo.append(to)
                 row.append((index[to], out, f))
             rows.append(row)
-        return rows
+        return rows, [end(self.last(state)) for state in index]
 
 
 def negation(scope: int = 3) -> Transducer:
@@ -106,7 +125,7 @@ def reported() -> Transducer:
     def step(state, s):
         verb, quoted = state
         if s == QUOTE:
-            return (verb, not quoted), OTHER, 1.0
+            return (verb, not quoted), QUOTE, 1.0
         if s == REPORT_:
             return (True, quoted), OTHER, 1.0
         factor = (0.4 if verb else 1.0) * (0.6 if quoted else 1.0)
@@ -116,13 +135,15 @@ def reported() -> Transducer:
 
 
 def targets(reach: int = 4) -> Transducer:
-    """A target among the last `reach` words strengthens a match; a threat needs one to count."""
+    """A target among the last `reach` words strengthens an insult and directs it; a threat needs one to count."""
 
     def step(left, s):
         if s == TARGET_:
             return reach, TARGET_, 1.0
-        factor = 1.25 if left and s == INSULT else 1.0 if left and s == THREAT_ else 0.0 if s == THREAT_ else 1.0
-        return max(0, left - 1), s, factor
+        if s == QUOTE:
+            return left, s, 1.0
+        out, factor = (DIRECTED, 1.25) if left and s == INSULT else (OTHER, 0.0) if s == THREAT_ and not left else (s, 1.0)
+        return max(0, left - 1), out, factor
 
     return Transducer(0, step)
 
@@ -131,7 +152,8 @@ def insults() -> Transducer:
     """A further insult right after one strengthens it."""
 
     def step(last, s):
-        return (1 if s == INSULT else 0), s, 1.1 if last and s == INSULT else 1.0
+        now = s in (INSULT, DIRECTED)
+        return (last if s == QUOTE else int(now)), s, 1.1 if last and now else 1.0
 
     return Transducer(0, step)
 
@@ -145,7 +167,28 @@ def threats() -> Transducer:
     return Transducer(0, step)
 
 
-GRAMMAR = negation().then(reported()).then(targets()).then(insults()).then(threats()).compiled(7)
+def clauses(reach: int = 4) -> Transducer:
+    """Words and insults of the clause (two stands for more), words in which a target directs the last insult, and whether any is directed or a threat."""
+
+    def step(state, s):
+        words, found, open_, directed, threat = state
+        if s == QUOTE:
+            return state, s, 1.0
+        insult = s in (INSULT, DIRECTED)
+        directed = directed or s == DIRECTED or (s == TARGET_ and open_ > 0)
+        return (min(2, words + 1), min(2, found + insult), reach if insult else max(0, open_ - 1), directed, threat or s == THREAT_), s, 1.0
+
+    return Transducer((0, 0, 0, False, False), step)
+
+
+def clause_kind(state: tuple) -> int:
+    words, found, _, directed, threat = state
+    if threat:
+        return MENACE
+    return DIRECT if directed else COMPOUND if found > 1 else PLAIN if found and words > 1 else NOTHING
+
+
+GRAMMAR, KINDS = negation().then(reported()).then(targets()).then(insults()).then(threats()).then(clauses()).compiled(7, clause_kind)
 #: The weight of a threat, on the scale of the learned log ratios.
 THREAT_WEIGHT = 3.0
 
@@ -176,8 +219,8 @@ class Lexicon:
                 best = max(best, self.stems.get(raw[:n], 0.0))
         return best
 
-    def matches(self, text: str | None) -> list[float]:
-        """Weights of the matches of a text, clause by clause."""
+    def matches(self, text: str | None) -> list[tuple[int, float]]:
+        """(what it is, weight) of the matched clauses of a text."""
         if not text:
             return []
         low = text.lower()
@@ -186,55 +229,66 @@ class Lexicon:
             return []
         out = []
         for clause in _CLAUSE.findall(low):
-            state = 0
+            state, most = 0, 0.0
             for word in _TOKEN.findall(clause):
                 word = word.replace("’", "'")
                 s = self.symbol.get(word)
-                weight = 0.0
+                weight = THREAT_WEIGHT
                 if s is None:
                     weight = self.weight(word)
                     s = INSULT if weight else OTHER
                 state, s, factor = GRAMMAR[state][s]
-                if s == INSULT:
-                    out.append(factor * weight)
-                elif s == THREAT_ and factor:
-                    out.append(factor * THREAT_WEIGHT)
+                if s in (INSULT, DIRECTED, THREAT_):
+                    most = max(most, factor * weight)
+            if KINDS[state] and most:
+                out.append((KINDS[state], most))
         return out
 
 
-def summary(weights: list[float]) -> list[float]:
-    return [math.log1p(sum(weights)), max(weights, default=0.0), math.log1p(len(weights))]
+def summary(matches: list[tuple[int, float]]) -> list[float]:
+    weights = [w for _, w in matches]
+    return [math.log1p(sum(weights)), max(weights, default=0.0), math.log1p(len(weights)), math.log1p(sum(w for k, w in matches if k > PLAIN))]
+
+
+#: Coefficients of the summary before any label is seen.
+BEFORE = (0.0, 0.0, 0.0, 0.5)
 
 
 class ToxicityModel:
     def __init__(self, insult: dict[bytes, float], coef: list[float], bias: float):
         self.lexicon, self.coef, self.bias = Lexicon(insult), coef, bias
 
+    def judge(self, text: str | None) -> tuple[int, float]:
+        """Number of matched clauses, score."""
+        found = self.lexicon.matches(text)
+        m = self.bias + sum(c * v for c, v in zip(self.coef, summary(found)))
+        return len(found), 1 / (1 + math.exp(-max(-60.0, min(60.0, m))))
+
     def score(self, text: str | None) -> float:
-        x = summary(self.lexicon.matches(text))
-        m = self.bias + sum(c * v for c, v in zip(self.coef, x))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, m))))
+        return self.judge(text)[1]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 2.0) -> tuple[list[float], float]:
-    """Ridge logistic regression of rows that stand for n documents each, by Newton steps halved until the loss falls."""
+    """Logistic regression of rows that stand for n documents each, held near BEFORE, by Newton steps halved until the loss falls."""
     z = np.column_stack([x, np.ones(len(x))])
-    penalty = np.array([ridge] * x.shape[1] + [0.1])
+    penalty, centre = np.array([ridge] * x.shape[1] + [0.1]), np.array([*BEFORE, 0.0])
 
     def loss(w):
         m = z @ w
-        return float((n * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (penalty * w * w).sum())
+        return float((n * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (penalty * (w - centre) ** 2).sum())
 
     w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (n * p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-        step, size, now = np.linalg.solve(h, z.T @ (n * (y - p)) - penalty * w), 1.0, loss(w)
+        step, size, now = np.linalg.solve(h, z.T @ (n * (y - p)) - penalty * (w - centre)), 1.0, loss(w)
         while size > 1e-6 and loss(w + size * step) > now:
             size /= 2
         w = w + size * step
         if np.abs(size * step).max() < 1e-6:
             break
+    # What is more than plain never says less.
+    w[3] = max(0.0, w[3])
     return w[:-1].tolist(), float(w[-1])
 
 
@@ -301,15 +355,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     def summed(batches):
         for b in batches:
             x = [summary(lexicon.matches(t)) for t in b["text"]]
-            yield {"y": b["y"], **{f"x{i}": [v[i] for v in x] for i in range(3)}}
+            yield {"y": b["y"], **{f"x{i}": [v[i] for v in x] for i in range(4)}}
 
-    got = stream(rows.select("text", "y"), summed, "y int, x0 double, x1 double, x2 double").groupBy("y", *(F.round(f"x{i}", 1).alias(f"x{i}") for i in range(3))).agg(F.count(F.lit(1)).alias("n")).collect()
+    got = stream(rows.select("text", "y"), summed, "y int, x0 double, x1 double, x2 double, x3 double").groupBy("y", *(F.round(f"x{i}", 1).alias(f"x{i}") for i in range(4))).agg(F.count(F.lit(1)).alias("n")).collect()
     got = sorted(tuple(r) for r in got)
     if len({r[0] for r in got}) < 2:
-        return ToxicityModel(insult, [1.0, 0.5, 0.0], -3.0)
-    seen = [sum(r[4] for r in got if r[0] == y) for y in (0, 1)]
+        return ToxicityModel(insult, [1.0, 0.5, 0.0, BEFORE[3]], -3.0)
+    seen = [sum(r[5] for r in got if r[0] == y) for y in (0, 1)]
     scale = sum(seen) / (seen[0] * per_row[0] + seen[1] * per_row[1])
-    return ToxicityModel(insult, *logistic(np.array([r[1:4] for r in got]), np.array([float(r[0]) for r in got]), np.array([r[4] * per_row[r[0]] * scale for r in got])))
+    return ToxicityModel(insult, *logistic(np.array([r[1:5] for r in got]), np.array([float(r[0]) for r in got]), np.array([r[5] * per_row[r[0]] * scale for r in got])))
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,13 +373,14 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     def run(batches):
         m = ToxicityModel(*given)
         for rows in batches:
-            yield {key: rows[key], "score": [m.score(t) for t in rows[text]]}
+            judged = [m.judge(t) for t in rows[text]]
+            yield {key: rows[key], "n_matches": [n for n, _ in judged], "score": [p for _, p in judged]}
 
-    return stream(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, score double")
+    return stream(docs.select(key, text), run, f"{key} {dict(docs.dtypes)[key]}, n_matches long, score double")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").where(doc_hash() % 3 != 1)
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches")

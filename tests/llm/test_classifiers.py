@@ -132,14 +132,20 @@ def test_toxicity_on_held_out_documents(spark):
 
 def test_toxicity_grammar():
     lex = toxicity.Lexicon({b"idiot": 4.0, b"scumb*": 3.0})
-    weigh = lambda t: sum(lex.matches(t))
+    weigh = lambda t: sum(w for _, w in lex.matches(t))
+    kinds = lambda t: [k for k, _ in lex.matches(t)]
     plain = weigh("an idiot here")
-    assert plain == 4.0 and weigh("Idiot.") == 4.0 and weigh("“idiot”") < 4.0
+    assert plain == 4.0 and kinds("an idiot here") == [toxicity.PLAIN]
+    # A word that stands alone is no clause.
+    assert weigh("idiot") == weigh("Idiot.") == weigh("“idiot”") == weigh("well: idiot; no") == 0
+    assert kinds("you are an idiot") == kinds("idiot that you are") == [toxicity.DIRECT] and kinds("idiot idiot") == [toxicity.COMPOUND]
+    assert kinds("idiot of a man with no thing for them") == [toxicity.PLAIN]
     assert weigh("you are an idiot") > plain > weigh("she is not an idiot") > 0
     assert weigh("he said she was an idiot") < weigh("she was an idiot")
     assert weigh("he said so. she was an idiot") == weigh("she was an idiot")
-    assert weigh("idiot idiot") > 2 * plain and weigh("you scumbag") > 3.0 and weigh("scum idiotic") == 0
-    assert weigh("i will kill") == 0 and weigh("i tell you i will kill") > 0 and weigh("never you kill") < weigh("tell you kill")
+    assert weigh("idiot idiot") > plain and weigh("you scumbag") > 3.0 and weigh("scum idiotic") == 0
+    assert weigh("i will kill") == 0 and kinds("i tell you i will kill") == [toxicity.MENACE] and weigh("never you kill") < weigh("tell you kill")
+    assert kinds("you idiot! an idiot here. idiot") == [toxicity.DIRECT, toxicity.PLAIN]
     assert lex.matches(None) == lex.matches("") == lex.matches("nothing here") == []
 
 
@@ -150,8 +156,19 @@ def test_composition_multiplies_factors():
         state, _, f = a.step(state, s)
         factor *= f
     assert factor == pytest.approx(0.3 * 1.25)
-    table = a.compiled(7)
-    assert all(0 <= to < len(table) for row in table for to, _, _ in row)
+    table, ends = a.compiled(7, lambda last: last)
+    assert all(0 <= to < len(table) for row in table for to, _, _ in row) and len(ends) == len(table) and set(ends) == set(range(5))
+
+
+def test_a_word_alone_scores_as_clean(spark):
+    rnd = random.Random(13)
+    text = lambda word: words(rnd, ["er", "on", "th"], 8) + word + words(rnd, ["er", "on"], 5)
+    docs = spark.createDataFrame([(i, text(" foo " if i < 150 else " ")) for i in range(600)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 150)) for i in range(600)], "doc_id long, toxic int"))
+    assert b"foo" in model.lexicon.insult
+    assert model.score("foo") == model.score("foo.") == model.score("er on") < 0.3
+    # What a clause says is learned: here plain clauses are toxic, and directed ones no less.
+    assert 0.7 < model.score("er on foo th") <= model.score("you are foo th er")
 
 
 def test_toxicity_edges(spark):
