@@ -125,6 +125,15 @@ class Trace:
             trace.recompute_axes = tuple(spec.recompute_axes)
         return trace
 
+    # -- what a reader is told
+    def on_axes(self) -> dict[str, str]:
+        """What its axes show: by default the columns in its roles."""
+        return {role: c for role in "xy" if isinstance(c := self.backend_data.get(role), str)}
+
+    def headline(self) -> str | None:
+        """What it shows as a whole, where no axis says it."""
+        return None
+
     # -- cube descriptors
     def cube_source(self, axis_range: tuple[float, float] | None, schema) -> cubes.FreeAxis | None:
         return None
@@ -195,6 +204,9 @@ class Histogram(Trace):
         where = in_range(self.column, tuple(view), self.kind) if view is not None else None
         return HistogramJob(self.uid, self.column, self.params["bins"], self.bounds, self.by, where)
 
+    def on_axes(self):
+        return {"x": self.params["histnorm"], "y": self.params["histnorm"], self.role: self.column}
+
     def _payload(self, rows):
         counts = [r["count"] for r in rows]
         n = len(rows)
@@ -274,6 +286,10 @@ def _reduction(values: str | None, agg: str) -> str:
     return agg
 
 
+def reduced(func: str, values: str | None) -> str:
+    return "count" if values is None else f"{func} of {values}"
+
+
 def _old_names(spec: TraceSpec) -> dict[str, Any]:
     """Arguments of specs whose bars still named their roles x and y."""
     a = Trace.arguments(spec)
@@ -302,6 +318,10 @@ class BarPlot(Trace):
     #: A box drag names a new set of labels each time; clicks on slices add up.
     multi = "replace"
 
+    def on_axes(self):
+        names = (composite_label(self.labels), reduced(self.func, self.backend_data.get("values")))
+        return dict(zip("yx" if self.params["orientation"] == "h" else "xy", names))
+
     def selection(self):
         return TraceSelectionSpec(kind="categorical", label_columns=list(self.labels), multi=self.multi)
 
@@ -345,6 +365,11 @@ class PiePlot(Trace):
 
     arguments = classmethod(lambda cls, spec: _old_names(spec))
     selection = BarPlot.selection
+
+    def headline(self):
+        values = self.backend_data.get("values")
+        return reduced(self.func, values) if values is not None else f"count of {composite_label(self.labels)}"
+
     cube_source = BarPlot.cube_source
     cube_target = BarPlot.cube_target
 
@@ -467,8 +492,17 @@ def _old_reducer(spec: TraceSpec) -> dict[str, Any]:
     return a
 
 
+def _of_cells(trace: Trace) -> str:
+    """What the cells of a grid hold, and how they are normalised."""
+    z, norm = trace.backend_data.get("z"), trace.params["histnorm"]
+    if z is None:
+        return norm or "count"
+    return reduced(trace.params["histfunc"], z) + f" ({norm})" * (norm is not None)
+
+
 class Histogram2D(Trace):
     trace_type = "histogram2d"
+    headline = _of_cells
     filtered_only = True
     recompute_roles = select_roles = (0, 1)
     hover = (("cell",), ("cell", "axis"))
@@ -559,6 +593,7 @@ class GeoTrace(Trace):
 
 class GeoHistogram2D(GeoTrace):
     trace_type = "geo_histogram2d"
+    headline = _of_cells
     filtered_only = True
     hover = (("cell",), ("cell",))
 

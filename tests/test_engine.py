@@ -280,7 +280,7 @@ def test_dashboard_cubes_and_service(data):
     got = service.handle_update(body)
     served = got["trace_cubes"]
     assert set(served) == {bars.traces[0].uid, bars.traces[1].uid, grid.traces[0].uid, lines.traces[0].uid} and served[bars.traces[0].uid] == served[bars.traces[1].uid]
-    assert service.handle_update(body)["bundle"] == got["bundle"] and service.CUBES.hits >= 3
+    assert service.handle_update(body)["bundle"] == got["bundle"] and service.app.cubes.hits >= 3
     body["active_source"]["column"] = "other"
     assert service.handle_update(body)["trace_cubes"] == {}
     body["active_source"] = {"figure_uid": bars.uid, "column": "cat", "trace_uid": bars.traces[0].uid}
@@ -302,7 +302,7 @@ def test_dashboard_cubes_and_service(data):
         urllib.request.urlopen(f"{base}/nothing")
     server.shutdown()
     REGISTRY.register("svc", data)
-    assert len(service.DELTAS) == 0
+    assert len(service.app.deltas) == 0
 
 
 def test_viewport_keys():
@@ -314,3 +314,110 @@ def test_plain_json():
     assert service.plain({"a": (dt.date(2024, 1, 1), math.nan, 1)}) == {"a": ["2024-01-01", None, 1]}
     with pytest.raises(TypeError):
         service.plain(object())
+
+
+def _call_wsgi(application, method, path, body=b"", query=""):
+    import io
+
+    got = {}
+    raw = b"".join(application({"REQUEST_METHOD": method, "PATH_INFO": path, "QUERY_STRING": query, "CONTENT_LENGTH": str(len(body)), "wsgi.input": io.BytesIO(body)}, lambda status, headers: got.update(status=status, headers=dict(headers))))
+    return got["status"], raw
+
+
+def test_package_exports(data):
+    import lumenframe
+
+    assert set(lumenframe.__all__) == {"Dashboard", "Figure", "app", "mount_into", "register_source"} == set(dir(lumenframe))
+    assert lumenframe.app is service.app and lumenframe.Figure().add_bar("cat").traces
+    lumenframe.register_source("exported", data)
+    assert "exported" in lumenframe.app.registry.names()
+    with pytest.raises(AttributeError):
+        lumenframe.nothing
+
+
+def test_mounting_into_other_applications(data):
+    import asyncio
+
+    service.app.registry.register("mounted", data)
+
+    def host(environ, start_response):
+        start_response("200 OK", [])
+        return [b"host"]
+
+    both = service.mount_into(host, "/viz")
+    assert _call_wsgi(both, "GET", "/other") == ("200 OK", b"host") and _call_wsgi(both, "GET", "/vizard") == ("200 OK", b"host")
+    status, raw = _call_wsgi(both, "GET", "/viz/sources")
+    assert status == "200 OK" and "mounted" in json.loads(raw)
+    assert _call_wsgi(both, "GET", "/viz/nowhere")[0].startswith("404") and _call_wsgi(both, "POST", "/viz/update", b"{")[0].startswith("422")
+
+    class Framework:
+        def __init__(self):
+            self.mounted = {}
+
+        def mount(self, prefix, application):
+            self.mounted[prefix] = application
+
+    framework = Framework()
+    assert service.mount_into(framework) is framework and framework.mounted == {"/lumenframe": service.app}
+    with pytest.raises(TypeError):
+        service.mount_into(object())
+
+    class Held:
+        wsgi_app = staticmethod(host)
+
+    held = Held()
+    assert service.mount_into(held, "viz") is held and _call_wsgi(held.wsgi_app, "GET", "/viz/cache/stats")[0] == "200 OK"
+
+    async def call(scope, body=b""):
+        sent = []
+
+        async def receive():
+            return {"type": "http.request", "body": body, "more_body": False}
+
+        async def send(message):
+            sent.append(message)
+
+        await service.app({"type": "http", "query_string": b"", "headers": [(b"accept-encoding", b"gzip")], **scope}, receive, send)
+        return sent
+
+    start, end = asyncio.run(call({"method": "GET", "path": "/viz/sources", "root_path": "/viz"}))
+    assert start["status"] == 200 and (b"content-encoding", b"gzip") in start["headers"]
+    import gzip
+
+    assert "mounted" in json.loads(gzip.decompress(end["body"]))
+
+
+def test_other_memories_behind_a_service(data):
+    class Store(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    from lumenframe.plans.figure import Dashboard
+    from lumenframe.sources.registry import SourceRegistry
+
+    registry = SourceRegistry()
+    registry.register("own", data, cache=True)
+    deltas, cubes = Store(), Store()
+    own = service.Service(registry, deltas, cubes)
+    d = Dashboard(source="own")
+    d.add_figure().add_bar("cat")
+    body = {"spec": sp.to_dict(d.to_spec()), "event": {"type": "init", "force_update": True}}
+    first = own.update(body)
+    assert deltas and own.update(body) == first and json.loads(own.answer("GET", "/cache/stats", "", b"", False)[2]) == {"deltas": {}, "cubes": {}}
+    other = Store()
+    own.use(deltas=other)
+    assert own.update(body) == first and other and own.cubes is cubes
+    registry.register("own", data, cache=True)
+    assert not other and len(deltas) == 1
+
+
+def test_labels_and_titles_come_from_the_traces(data):
+    from lumenframe.plans.figure import Figure, described
+
+    assert described(Figure().add_line("ts", "val").traces) == {"xlabel": "ts", "ylabel": "val"}
+    assert described(Figure().add_histogram(y="val", histnorm="percent").traces) == {"xlabel": "percent", "ylabel": "val"}
+    assert described(Figure().add_bar(["a", "b"], "v", agg="mean", orientation="h").traces) == {"xlabel": "mean of v", "ylabel": "[a, b]"}
+    assert described(Figure().add_line("ts", "val").add_line("ts", "other").traces) == {"xlabel": "ts"}
+    assert described(Figure().add_pie("cat").traces) == {"title": "count of cat"} and described(Figure().add_pie("cat", "v").traces) == {"title": "sum of v"}
+    assert described(Figure().add_histogram2d("a", "b", z="c", histfunc="max", histnorm="percent").traces)["title"] == "max of c (percent)"
+    assert described([]) == {}
