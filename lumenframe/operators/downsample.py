@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import has_value
 from ..functions.typing import kind_of
-from .ordering import with_position
+from .ordering import settled, with_position
 
 GAP_FACTOR = 4.1
 
@@ -30,7 +30,7 @@ def every_nth(df: DataFrame, order: list[str], n_points: int, by: tuple[str, ...
     placed = with_position(df, order, by)
     stride = F.greatest(F.lit(1), F.floor(F.col("n_rows") / n_points))
     count = F.least(F.ceil(F.col("n_rows") / stride), F.lit(n_points))
-    return placed.where((F.col("ri") % stride == 0) & (F.col("ri") < count * stride)).drop("n_rows")
+    return settled(placed.where((F.col("ri") % stride == 0) & (F.col("ri") < count * stride)).drop("n_rows"), placed)
 
 
 def bucket_of(ri: Column, rows: Column, buckets: Column) -> Column:
@@ -60,7 +60,7 @@ def min_max(df: DataFrame, x: str, y: str, order: list[str], n_points: int, by:
     buckets = F.greatest(F.lit(1), F.least(F.lit(max(1, n_points // 2)), F.col("n_rows")))
     both = _extremes(placed, x, y, by, buckets, F.col("ri"), F.col("n_rows"))
     points = both.select(*by, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("p"))
-    return points.select(*by, F.col("p.ri").alias("ri"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return settled(points.select(*by, F.col("p.ri").alias("ri"), F.col("p.x").alias("x"), F.col("p.y").alias("y")), placed)
 
 
 def compensated(first: tuple[int, float], pairs: list[tuple[int, float, int, float]], last: int) -> list[int]:
@@ -134,7 +134,7 @@ def fpcs(df: DataFrame, x: str, y: str, order: list[str], n_points: int, by: tup
 
     # Without groups all of the at most n_points rows are one group.
     sampled = flat.groupBy(*by).applyInPandas(fold, schema) if by else flat.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(fold, schema)
-    return all_rows.unionByName(sampled)
+    return settled(all_rows.unionByName(sampled), placed)
 
 
 def _median(values: list[float]) -> float:

@@ -1,7 +1,7 @@
 """Group aggregations: bars, pies, treemaps, quantile boxes.
 
-Order statistics (medians, quartiles) take ranks from `with_position`, so a
-group of any size is sorted by ranges and never held in one aggregate.
+Order statistics (medians, quartiles) are picked by `pick_ranks`, so a group of
+any size is counted into bins and neither sorted nor held in one aggregate.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.binning import has_value
 from .histogram import value_of
-from .ordering import with_position
+from .ordering import pick_ranks
 
 REDUCERS = ("count", "sum", "mean", "median", "min", "max", "n_unique")
 
@@ -37,13 +37,16 @@ def simple_reducer(func: str, v: Column | None, kind: T.DataType | None) -> Colu
     raise ValueError(f"agg must be one of {REDUCERS}")
 
 
-def median(df: DataFrame, by: tuple[str, ...], column: str) -> DataFrame:
+#: Places of the middle values: two of an even number, one and the same of an odd one.
+MIDDLE = {"below": lambda n: F.floor((n - 1) / 2), "above": lambda n: F.floor(n / 2)}
+
+
+def median(df: DataFrame, by: tuple[str, ...], column: str, method: str = "auto") -> DataFrame:
     """by…, value: the middle value of each group, or the mean of the two middle ones; null where a group has none."""
     v, kind = value_of(df, column)
     rows = df.select(*by, v.alias("__v"))
-    placed = with_position(rows.where(has_value(F.col("__v"), kind)), ["__v"], by)
-    middle = placed.where((F.col("ri") == F.floor((F.col("n_rows") - 1) / 2)) | (F.col("ri") == F.floor(F.col("n_rows") / 2)))
-    found = middle.groupBy(*by).agg(F.avg("__v").alias("value"))
+    found = pick_ranks(rows.where(has_value(F.col("__v"), kind)), "__v", by, MIDDLE, method)
+    found = found.select(*by, ((F.col("below").cast("double") + F.col("above").cast("double")) / 2).alias("value"))
     if not by:
         return found
     groups = rows.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).distinct()
@@ -76,14 +79,12 @@ def treemap(df: DataFrame, path: tuple[str, ...], func: str = "count", column: s
 QUANTILES, REACH = (0.0, 0.25, 0.5, 0.75, 1.0), 1.5
 
 
-def box(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+def box(df: DataFrame, column: str, by: tuple[str, ...] = (), method: str = "auto") -> DataFrame:
     """by…, q0…q4, lower, upper: nearest-rank quartiles and whiskers; groups without a value are absent."""
     v, kind = value_of(df, column)
     rows = df.select(*by, v.alias("__v")).where(has_value(F.col("__v"), kind))
-    placed = with_position(rows, ["__v"], by)
-    rank = [F.floor((F.col("n_rows") - 1) * F.lit(q) + F.lit(0.5)) for q in QUANTILES]
-    wanted = placed.where(F.col("ri").isin(rank))
-    found = wanted.groupBy(*by).agg(*(F.max(F.when(F.col("ri") == r, F.col("__v"))).alias(f"q{i}") for i, r in enumerate(rank)))
+    ranks = {f"q{i}": lambda n, q=q: F.floor((n - 1) * F.lit(q) + F.lit(0.5)) for i, q in enumerate(QUANTILES)}
+    found = pick_ranks(rows, "__v", by, ranks, method)
     spread = (F.col("q3") - F.col("q1")) * F.lit(REACH)
     out = found.withColumn("lower", F.greatest(F.col("q1") - spread, F.col("q0").cast("double"))).withColumn("upper", F.least(F.col("q3") + spread, F.col("q4").cast("double")))
     return out if by else out.where("q0 is not null")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.binning import EDGE_EPS, grid_bin, has_value, hist_bin, within
 from ..functions.typing import kind_of, physical
-from .ordering import with_position
+from .ordering import pick_ranks
 
 REDUCERS_2D = ("sum", "mean", "min", "max", "median", "n_unique")
 NORMS = ("count", "percent", "probability", "density", "probability density")
@@ -120,9 +120,9 @@ def histogram2d(df: DataFrame, x: str, y: str, nx: int, ny: int, xb: tuple[float
         rows = rows.where(has_value(vz, kz))
         if func == "median":
             # Ranks within the cells, so that no aggregate holds a cell's values.
-            placed = with_position(rows.select(*by, cell.alias("bin"), vz.cast("double").alias("__z")), ["__z"], (*by, "bin"))
-            rows = placed.where((F.col("ri") == F.floor((F.col("n_rows") - 1) / 2)) | (F.col("ri") == F.floor(F.col("n_rows") / 2)))
-            agg, cell = F.avg("__z"), F.col("bin")
+            middle = {"below": lambda n: F.floor((n - 1) / 2), "above": lambda n: F.floor(n / 2)}
+            rows = pick_ranks(rows.select(*by, cell.alias("bin"), vz.cast("double").alias("__z")), "__z", (*by, "bin"), middle)
+            agg, cell = F.max((F.col("below") + F.col("above")) / 2), F.col("bin")
         else:
             agg = reducer(func, vz, kz).cast("double")
     found = rows.groupBy(*by, cell.alias("bin")).agg(agg.alias("value"))
