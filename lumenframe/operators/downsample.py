@@ -66,35 +66,28 @@ def min_max(df: DataFrame, x: str, y: str, order: list[str], n_points: int, by:
 def compensated(first: tuple[int, float], pairs: list[tuple[int, float, int, float]], last: int) -> list[int]:
     """Places kept by feature-preserving compensated sampling.
 
+    As the method is defined: of each bucket's two extremes, the later may still be
+    outdone by the next bucket, so it is only pending.  It enters the next bucket
+    as a candidate for its extremes; of these the earlier is kept and the later is
+    pending in turn.  A pending point that two buckets in a row running the same way
+    pass over is a feature of its own, and is kept before them.
+
     pairs: for each bucket in order, place and value of its least and its greatest
-    point.  A point that an extreme of the next bucket outdoes may still be a
-    feature; it is kept as pending and let out when the direction turns.
-    Comparisons with NaN are false, so NaN takes the place of an extreme.
+    point.  Comparisons with NaN are false, so NaN takes the place of an extreme.
     """
-    kept = [first[0]]
-    low = high = pending = first
-    ended_high: bool | None = None
-
-    def keep(place: int) -> None:
-        if kept[-1] != place:
-            kept.append(place)
-
+    kept, pending, rose = [first[0]], first, None
     for lo_at, lo_y, hi_at, hi_y in pairs:
-        if lo_y > hi_y:
-            lo_at, lo_y, hi_at, hi_y = hi_at, hi_y, lo_at, lo_y
-        high = high if high[1] > hi_y else (hi_at, hi_y)
-        low = low if low[1] <= lo_y else (lo_at, lo_y)
-        rising = low[0] < high[0]
-        start, end = (low, high) if rising else (high, low)
-        if ended_high is rising and start[0] != pending[0]:
-            keep(pending[0])
-        keep(start[0])
-        low = high = pending = end
-        ended_high = rising
-    if ended_high is not None:
-        keep(pending[0])
-    keep(last)
-    return kept
+        least, greatest = ((hi_at, hi_y), (lo_at, lo_y)) if lo_y > hi_y else ((lo_at, lo_y), (hi_at, hi_y))
+        if pending[1] <= least[1]:
+            least = pending
+        if pending[1] > greatest[1]:
+            greatest = pending
+        rises = least[0] < greatest[0]
+        now, later = (least, greatest) if rises else (greatest, least)
+        kept += [pending[0], now[0]] if rises is rose and now != pending else [now[0]]
+        pending, rose = later, rises
+    kept += [last] if rose is None else [pending[0], last]
+    return [p for i, p in enumerate(kept) if not i or kept[i - 1] != p]
 
 
 def fpcs(df: DataFrame, x: str, y: str, order: list[str], n_points: int, by: tuple[str, ...] = ()) -> DataFrame:

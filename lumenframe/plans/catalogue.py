@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..operators import correlation, downsample, envelope, grouping, histogram, ordering, predicates
 from ..sources.registry import Source
 from . import cube as cubes
+from . import spec, traces
+from .brush import Brush
+from .engine import Engine, TraceInfo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,8 +253,34 @@ register("line_nth", "events", _NTH.format(cols="ts, value", part="", where="",
 register("line_nth_grouped", "events", _NTH.format(cols="event_type, ts, value", part="PARTITION BY event_type", where="", p=100))(lambda df: downsample.every_nth(df.select("event_type", "ts", "value"), ["ts"], 100, ("event_type",)))
 register("line_minmax", "events", _sql_minmax(1000))(lambda df: downsample.min_max(df, "ts", "value", ["ts"], 1000))
 register("line_minmax_grouped", "events", _sql_minmax(200, "event_type"))(lambda df: downsample.min_max(df, "ts", "value", ["ts"], 200, ("event_type",)))
-register("line_fpcs", "events")(lambda df: downsample.fpcs(df, "ts", "value", ["ts"], 500))
-register("line_fpcs_grouped", "events")(lambda df: downsample.fpcs(df, "ts", "value", ["ts"], 100, ("event_type",)))
+def _sql_fpcs(n_points: int, by: str = "") -> str:
+    """The fold as a recursion over the buckets: the state is the pending point, how the last bucket ran, and what is kept."""
+    part, key = (f"PARTITION BY {by}", f"{by} AS g") if by else ("", "0 AS g")
+    out = f"g AS {by}, " if by else ""
+    n = n_points - 2
+    return f"""
+WITH RECURSIVE r AS (SELECT {key}, ts, value AS y, row_number() OVER ({part} ORDER BY ts) - 1 AS ri, count(*) OVER ({part}) AS n FROM events),
+whole AS (SELECT g, ri, ts, y FROM r WHERE n <= {n_points} OR n - 2 <= {2 * n}),
+inside AS (SELECT *, (n - 2) // {n} AS base, (n - 2) % {n} AS extra FROM r WHERE n > {n_points} AND n - 2 > {2 * n} AND ri > 0 AND ri < n - 1),
+run AS (SELECT g, ri, y, 1 + CASE WHEN ri - 1 < extra * (base + 1) THEN (ri - 1) // (base + 1) ELSE extra + (ri - 1 - extra * (base + 1)) // base END AS b FROM inside),
+bucket AS (SELECT g, b, arg_min(ri, (y, ri)) AS lo, min(y) AS lo_y, arg_min(ri, (-y, ri)) AS hi, max(y) AS hi_y FROM run GROUP BY 1, 2),
+ends AS (SELECT g, max(n) AS n, max(CASE WHEN ri = 0 THEN y END) AS y FROM r WHERE n > {n_points} AND n - 2 > {2 * n} GROUP BY 1),
+fold(g, b, p, p_y, rose, kept) AS (
+  SELECT g, CAST(0 AS BIGINT), CAST(0 AS BIGINT), y, CAST(NULL AS BOOLEAN), [CAST(0 AS BIGINT)] FROM ends
+  UNION ALL
+  SELECT g, b, CASE WHEN rises THEN high ELSE low END, CASE WHEN rises THEN high_y ELSE low_y END, rises,
+    CASE WHEN k[-1] <> start THEN list_append(k, start) ELSE k END
+  FROM (SELECT *, CASE WHEN rose = rises AND start <> p AND kept[-1] <> p THEN list_append(kept, p) ELSE kept END AS k
+    FROM (SELECT *, low < high AS rises, least(low, high) AS start
+      FROM (SELECT f.g, bucket.b, p, rose, kept, CASE WHEN p_y <= lo_y THEN p ELSE lo END AS low, least(p_y, lo_y) AS low_y, CASE WHEN p_y > hi_y THEN p ELSE hi END AS high, greatest(p_y, hi_y) AS high_y
+        FROM fold f JOIN bucket ON bucket.g = f.g AND bucket.b = f.b + 1)))
+), last AS (SELECT fold.g, list_distinct(kept || [p, n - 1]) AS kept FROM fold JOIN ends ON ends.g = fold.g WHERE b = {n}),
+picked AS (SELECT g, unnest(kept) AS ri FROM last)
+SELECT {out}ri, ts AS x, y FROM whole UNION ALL SELECT {"r." + out if by else ""}r.ri, ts AS x, y FROM picked JOIN r ON r.g = picked.g AND r.ri = picked.ri"""
+
+
+register("line_fpcs", "events", _sql_fpcs(500))(lambda df: downsample.fpcs(df, "ts", "value", ["ts"], 500))
+register("line_fpcs_grouped", "events", _sql_fpcs(100, "event_type"))(lambda df: downsample.fpcs(df, "ts", "value", ["ts"], 100, ("event_type",)))
 register("geo_line_nth", "events", _NTH.format(cols="lat, lon", part="", where="", p=300).replace("FROM events", "FROM (SELECT *, value AS lat, user_id AS lon FROM events)"))(lambda df: downsample.every_nth(df.select(F.col("value").alias("lat"), F.col("user_id").alias("lon"), "ts"), ["ts"], 300).select("lat", "lon", "ri"))
 
 
@@ -316,9 +345,9 @@ def minmax_domain(df):
 QUANTITY = cubes.FreeAxis("l_quantity", domain=(1.0, 50.0))
 
 
-def _brush(lo: float, hi: float, free: cubes.FreeAxis = QUANTITY) -> str:
-    a, b = cubes.snapped_range(cubes.snap(lo, hi, free.domain, free.p), free.domain, free.p)
-    return f"l_quantity >= {a!r} AND l_quantity < {b!r}"
+def _brush(lo: float, hi: float) -> str:
+    """SQL: the rows of l_quantity in the bins, of 2048 over 1..50, that hold both ends of a brush."""
+    return f"floor((l_quantity - 1.0) / 49.0 * 2048) BETWEEN floor(({lo} - 1.0) / 49.0 * 2048) AND floor(({hi} - 1.0) / 49.0 * 2048)"
 
 
 def _cube_query(name: str, spec: cubes.CubeSpec, source: str, sql: str, cut, digits: int = 4, prepare=lambda df: df) -> None:
@@ -343,8 +372,8 @@ _cube_query("cube_categorical", cubes.CubeSpec("lineitem", cubes.FreeAxis("l_ret
 
 _BOX = cubes.FreeAxis("l_quantity", "box2d", cubes.BOX_BINS, columns=("l_quantity", "l_discount"), domains=((1.0, 50.0), (0.0, 0.1)))
 _cube_query("cube_box2d", cubes.CubeSpec("lineitem", _BOX, (cubes.TargetDim("l_linestatus", "categorical"),), cubes.Measure("sum", "l_tax")), "lineitem",
-            f"""SELECT l_linestatus, round(sum(l_tax), 4) AS value FROM lineitem WHERE {sql_axis("l_quantity", "1.0", "50.0", 128)} BETWEEN {cubes.snap(5, 25, (1.0, 50.0), 128)[0]} AND {cubes.snap(5, 25, (1.0, 50.0), 128)[1]}
-AND {sql_axis("l_discount", "0.0", "0.1", 128)} BETWEEN {cubes.snap(0.02, 0.07, (0.0, 0.1), 128)[0]} AND {cubes.snap(0.02, 0.07, (0.0, 0.1), 128)[1]} GROUP BY 1""",
+            f"""SELECT l_linestatus, round(sum(l_tax), 4) AS value FROM lineitem WHERE {sql_axis("l_quantity", "1.0", "50.0", 128)} BETWEEN 10 AND 62
+AND {sql_axis("l_discount", "0.0", "0.1", 128)} BETWEEN 25 AND 89 GROUP BY 1""",
             lambda c: c.slice_box((5, 25), (0.02, 0.07)))
 
 #: Days since 1970 of 1995-01-01 and 2001-08-01.
@@ -352,7 +381,7 @@ _DAYS = (9131.0, 11535.0)
 _DAY = cubes.FreeAxis("day", "temporal", cubes.RANGE_BINS, _DAYS, unit="day")
 _cube_query("cube_day", cubes.CubeSpec("orders", _DAY, (cubes.TargetDim("o_orderstatus", "categorical"),), cubes.Measure("max", "o_totalprice")), "orders",
             f"""WITH o AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders)
-SELECT o_orderstatus, max(o_totalprice) AS value FROM o WHERE d >= {cubes.snapped_range(cubes.snap(9500, 10000, _DAYS, 2048, "day"), _DAYS, 2048, "day")[0]} AND d < {cubes.snapped_range(cubes.snap(9500, 10000, _DAYS, 2048, "day"), _DAYS, 2048, "day")[1]} GROUP BY 1""",
+SELECT o_orderstatus, max(o_totalprice) AS value FROM o WHERE (d - 9131) // 2 BETWEEN (9500 - 9131) // 2 AND (10000 - 9131) // 2 GROUP BY 1""",
             lambda c: c.slice(9500, 10000), prepare=lambda df: df.withColumn("day", F.col("o_orderdate").cast("date")))
 _cube_query("cube_hist_target", cubes.CubeSpec("lineitem", QUANTITY, (cubes.TargetDim("l_extendedprice", "binned", 20, (900.0, 105000.0 + 1e-10)),)), "lineitem",
             f"SELECT {sql_hist('l_extendedprice', '900.0', '(105000.0 + 1e-10)', 20)} AS __bin__l_extendedprice, CAST(count(*) AS DOUBLE) AS value FROM lineitem WHERE {_brush(5, 20)} AND l_extendedprice BETWEEN 900 AND 105000 + 1e-10 GROUP BY 1",
@@ -371,7 +400,7 @@ _cube_query("cube_treemap", cubes.CubeSpec("lineitem", QUANTITY, (cubes.TargetDi
 @register("cube_line_env", "events", f"""
 WITH t AS (SELECT event_id AS x, value AS y, user_id AS f FROM events WHERE event_id BETWEEN 0 AND 9000),
 c AS (SELECT {sql_axis("f", "0.0", "1000.0", 64)} AS free_bin, {sql_axis("x", "0.0", "9000.0", 30)} AS b, x, y FROM t WHERE f BETWEEN 0 AND 1000),
-g AS (SELECT b, CAST(min(y) AS FLOAT) AS lo, CAST(max(y) AS FLOAT) AS hi FROM c WHERE free_bin BETWEEN {cubes.snap(100, 700, (0.0, 1000.0), 64)[0]} AND {cubes.snap(100, 700, (0.0, 1000.0), 64)[1]} GROUP BY 1)
+g AS (SELECT b, CAST(min(y) AS FLOAT) AS lo, CAST(max(y) AS FLOAT) AS hi FROM c WHERE free_bin BETWEEN 6 AND 44 GROUP BY 1)
 SELECT b AS __bin__event_id, CAST(lo AS DOUBLE) AS y_min, CAST(hi AS DOUBLE) AS y_max FROM g""")
 def cube_line_env(df):
     spec = cubes.CubeSpec("events", cubes.FreeAxis("user_id", p=64, domain=(0.0, 1000.0)), (cubes.TargetDim("event_id", "binned", 30, (0.0, 9000.0)),), cubes.Measure("line_env", "value"))
@@ -389,6 +418,122 @@ def cube_line_env_whole(df):
     return cubes.build(df, spec).slice(lo + 6.5 / 64 * (hi - lo), lo + 44.5 / 64 * (hi - lo)).select("__bin__event_id", "y_min", "y_max")
 
 
+@register("cube_line_env_points", "events", f"""
+WITH d AS (SELECT CAST(min(event_id) AS DOUBLE) AS xl, CAST(max(event_id) AS DOUBLE) AS xh, CAST(min(user_id) AS DOUBLE) AS fl, CAST(max(user_id) AS DOUBLE) AS fh FROM events),
+c AS (SELECT {sql_axis("user_id", "fl", "fh", 64)} AS f, {sql_axis("event_id", "xl", "xh", 30)} AS b, CAST(event_id AS DOUBLE) AS x, value AS y, xl, (xh - xl) / 30 AS w FROM events, d WHERE value IS NOT NULL),
+cell AS (SELECT f, b, any_value(xl) + b * any_value(w) AS edge, any_value(w) AS w, CAST(min(y) AS FLOAT) AS lo, arg_min(x, (y, x)) AS lo_x, CAST(max(y) AS FLOAT) AS hi, arg_min(x, (-y, x)) AS hi_x FROM c WHERE f BETWEEN 6 AND 44 GROUP BY 1, 2),
+q AS (SELECT *, greatest(0, least(65535, round_even((lo_x - edge) / w * 65535, 0))) AS lo_at, greatest(0, least(65535, round_even((hi_x - edge) / w * 65535, 0))) AS hi_at FROM cell),
+p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY lo, f, lo_at) AS i, row_number() OVER (PARTITION BY b ORDER BY hi DESC, f, hi_at) AS j FROM q)
+SELECT b AS __bin__event_id, CAST(max(CASE WHEN i = 1 THEN lo END) AS DOUBLE) AS y_min, round(max(CASE WHEN i = 1 THEN edge + lo_at / 65535.0 * w END), 6) AS x_at_ymin,
+  CAST(max(CASE WHEN j = 1 THEN hi END) AS DOUBLE) AS y_max, round(max(CASE WHEN j = 1 THEN edge + hi_at / 65535.0 * w END), 6) AS x_at_ymax FROM p GROUP BY 1""")
+def cube_line_env_points(df):
+    """Both extremes of every bucket with the places they stand at, as the cube stores them."""
+    (lo, hi), ids = ((0.0, 1.0) if d[0] is None else d for d in (histogram.domain(df, "user_id"), histogram.domain(df, "event_id")))
+    spec = cubes.CubeSpec("events", cubes.FreeAxis("user_id", p=64, domain=(lo, hi)), (cubes.TargetDim("event_id", "binned", 30, ids),), cubes.Measure("line_env", "value"))
+    out = cubes.build(df, spec).slice(lo + 6.5 / 64 * (hi - lo), lo + 44.5 / 64 * (hi - lo))
+    return rounded(out.select("__bin__event_id", "y_min", "x_at_ymin", "y_max", "x_at_ymax"), "x_at_ymin", "x_at_ymax")
+
+
+# ranks by counting into bins, whatever the size -------------------------------------------
+
+register("bar_median_bins", "lineitem", "SELECT l_returnflag, round(median(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1")(lambda df: rounded(grouping.median(df, ("l_returnflag",), "l_extendedprice", "bins"), "value", digits=4))
+register("box_grouped_bins", "lineitem", _sql_box("l_returnflag"))(lambda df: grouping.box(df, "l_quantity", ("l_returnflag",), "bins"))
+register("box_bins", "events", _sql_box("").replace("l_quantity", "value").replace("lineitem", "events"))(lambda df: grouping.box(df, "value", (), "bins"))
+
+
+# missing values: every third value of an event is null, every fifth of the others is NaN -----
+
+_MISSING = "(SELECT *, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS v FROM events)"
+_NULLS = "(SELECT *, CASE WHEN event_id % 3 = 0 OR event_type = 'click' THEN NULL ELSE value END AS v FROM events)"
+
+
+def with_missing(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.when(F.col("event_id") % 3 != 0, F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))))
+
+
+def with_nulls(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.when((F.col("event_id") % 3 != 0) & (F.col("event_type") != "click"), F.col("value")))
+
+
+_REAL = "v IS NOT NULL AND NOT isnan(v)"
+for _f, _e in (("min", "min(v) FILTER (" + _REAL + ")"), ("max", "max(v) FILTER (" + _REAL + ")"), ("median", "round(median(v) FILTER (" + _REAL + "), 6)")):
+    register(f"missing_bar_{_f}", "events", f"SELECT event_type, {_e.replace('FILTER (', 'FILTER (WHERE ')} AS value FROM {_MISSING} GROUP BY 1")(lambda df, f=_f: rounded(grouping.aggregate(with_missing(df), ("event_type",), f, "v"), "value"))
+for _f, _e in (("sum", "coalesce(sum(v), 0)"), ("mean", "avg(v)"), ("n_unique", "count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END)")):
+    register(f"missing_bar_{_f}", "events", f"SELECT event_type, round(CAST({_e} AS DOUBLE), 6) AS value FROM {_NULLS} GROUP BY 1")(lambda df, f=_f: rounded(grouping.aggregate(with_nulls(df), ("event_type",), f, "v"), "value"))
+register("missing_line_minmax", "events", _sql_minmax(200).replace("ts, value, row_number() OVER ( ORDER BY ts) - 1 AS ri, count(*) OVER () AS n FROM events", f"ts, v AS value, row_number() OVER (ORDER BY ts) - 1 AS ri, count(*) OVER () AS n FROM {_MISSING}").replace("FROM b)", "FROM b WHERE value IS NOT NULL AND NOT isnan(value))"))(
+    lambda df: downsample.min_max(with_missing(df), "ts", "v", ["ts"], 200)
+)
+register("missing_box", "events", _sql_box("event_type").replace("l_quantity", "v").replace("FROM lineitem", f"FROM {_MISSING} WHERE {_REAL}"))(lambda df: grouping.box(with_missing(df), "v", ("event_type",)))
+register("missing_hist1d", "events", f"""
+WITH m AS (SELECT v FROM {_MISSING} WHERE {_REAL}), d AS (SELECT min(v) AS lo, max(v) + 1e-10 AS hi FROM m), c AS (SELECT {sql_hist("v", "lo", "hi", N)} AS bin, count(*) AS n FROM m, d GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range({N}) r LEFT JOIN c ON c.bin = r.range""")(
+    lambda df: histogram.histogram(with_missing(df), "v", N, histogram.padded(histogram.domain(with_missing(df), "v"))).select("bin", "count")
+)
+register("hist1d_one_value", "events", "SELECT CAST(r.range AS INTEGER) AS bin, CASE WHEN r.range = 0 THEN (SELECT count(*) FROM events) ELSE 0 END AS count FROM range(5) r")(
+    lambda df: histogram.histogram(df.select(F.lit(7.0).alias("v")), "v", 5, histogram.padded((7.0, 7.0))).select("bin", "count")
+)
+for _f, _e in (("mean", "avg(z)"), ("n_unique", "count(DISTINCT z)")):
+    register(f"missing_hist2d_{_f}", "events", f"""
+WITH d AS (SELECT min(event_id) AS xl, max(event_id) AS xh, min(user_id) AS yl, max(user_id) AS yh FROM events),
+c AS (SELECT {sql_grid("event_id", "xl", "xh", 6)} AS xb, {sql_grid("user_id", "yl", "yh", 5)} AS yb, v AS z FROM {_MISSING}, d WHERE {_REAL})
+SELECT CAST(x.range AS INTEGER) AS xb, CAST(y.range AS INTEGER) AS yb, round(v, 6) AS value FROM range(6) x CROSS JOIN range(5) y LEFT JOIN (SELECT xb, yb, CAST({_e} AS DOUBLE) AS v FROM c GROUP BY 1, 2) g ON g.xb = x.range AND g.yb = y.range""")(
+        lambda df, f=_f: rounded(histogram.histogram2d(with_missing(df), "event_id", "user_id", 6, 5, histogram.domain(df, "event_id"), histogram.domain(df, "user_id"), "v", f), "value")
+    )
+
+
+# whole interactions: what the engine answers, as rows --------------------------------------
+
+
+def _engine(df: DataFrame, *shown: traces.Trace) -> tuple[Engine, list[TraceInfo]]:
+    return Engine(Source("lineitem", df)), [TraceInfo(x.uid, f"f{i}", x) for i, x in enumerate(shown)]
+
+
+def _selected(column: str, lo: float, hi: float) -> spec.SelectionState:
+    return spec.SelectionState("elsewhere", [spec.SelectionPredicate([spec.ClauseFilter(column, range=(lo, hi))])])
+
+
+def _pairs(df: DataFrame, parts: list[tuple[str, list, list]], kind: str) -> DataFrame:
+    rows = [(name, x, None if y is None else float(y)) for name, xs, ys in parts for x, y in zip(xs, ys)]
+    return df.sparkSession.createDataFrame(rows, f"part string, x {kind}, y double")
+
+
+@register("engine_crossfilter", "lineitem", """
+SELECT 'all' AS part, l_returnflag AS x, round(sum(l_quantity), 2) AS y FROM lineitem GROUP BY 2
+UNION ALL SELECT 'selected', l_returnflag, round(sum(l_quantity), 2) FROM lineitem WHERE l_extendedprice BETWEEN 20000 AND 60000 GROUP BY 2""")
+def engine_crossfilter(df):
+    """A bar chart at first sight, and after a selection in another chart."""
+    engine, infos = _engine(df, traces.BarPlot("l_returnflag", "l_quantity"))
+    first = engine.process(spec.InteractionEvent("init", force_update=True), infos)[-1].updates
+    event = spec.InteractionEvent("selection", selections=[_selected("l_extendedprice", 20000, 60000)], force_update=True)
+    then = engine.process(event, infos)[-1].updates
+    return rounded(_pairs(df, [("all", first["x"], first["y"]), ("selected", then["x"], then["y"])], "string"), "y", digits=2)
+
+
+@register("engine_viewport", "lineitem", f"""
+WITH c AS (SELECT {sql_hist("l_extendedprice", "20000.0", "(60000.0 + 1e-10)", N)} AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 20000 AND 60000 GROUP BY 1)
+SELECT 'zoom' AS part, round(20000 + (r.range + 0.5) * 2000, 3) AS x, CAST(coalesce(n, 0) AS DOUBLE) AS y FROM range({N}) r LEFT JOIN c ON c.bin = r.range""")
+def engine_viewport(df):
+    """A zoom of a histogram: bins over the view, centres as the payload has them."""
+    engine, infos = _engine(df, traces.Histogram(x="l_extendedprice", bins=N))
+    event = spec.InteractionEvent("viewport", figure_uid="f0", axis_ranges={"x": (20000.0, 60000.0)}, force_update=True)
+    got = engine.process(event, infos, {"f0": {"x": (20000.0, 60000.0)}})[-1].updates
+    return rounded(_pairs(df, [("zoom", got["x"], got["y"])], "double"), "x", digits=3)
+
+
+@register("engine_brush", "lineitem", """
+WITH d AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
+SELECT 'brush' AS part, l_returnflag AS x, round(sum(l_quantity), 2) AS y FROM lineitem, d
+WHERE floor((l_extendedprice - lo) / (hi - lo) * 2048) BETWEEN floor((20000 - lo) / (hi - lo) * 2048) AND floor((60000 - lo) / (hi - lo) * 2048) GROUP BY 2""")
+def engine_brush(df):
+    """A brush on one chart, answered for another from its cube."""
+    source, bars = traces.Histogram(x="l_extendedprice", bins=N), traces.BarPlot("l_returnflag", "l_quantity")
+    engine, infos = _engine(df, source, bars)
+    brush = Brush(engine, infos, {}, [], spec.ActiveSource("f0", "l_extendedprice", source.uid))
+    got = {d.uid: d.updates for d in brush.move((20000.0, 60000.0))}[bars.uid]
+    brush.close()
+    return rounded(_pairs(df, [("brush", got["x"], got["y"])], "string"), "y", digits=2)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram of prices, background and cross-filtered, in one scan."""
     return QUERIES["overlay_bg_fg"](spark, sf_dir)
