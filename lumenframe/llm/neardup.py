@@ -1,24 +1,26 @@
 """Near-duplicate documents by a signature-coordinate inverted join.
 
 A document's signature holds the minimum of its shingle set under each of
-MINIMA permutations; a pair of similarity s agrees in each with probability s.
-Every class of equal sets is posted under coordinate-value pairs, and collisions
-are counted: a pair at the threshold has at least `least_matches` equal minima
-but for a chance of MISS, so one with fewer is no link.
-
-*Prefix.*  A pair with T of MINIMA equal coordinates has one among any
-MINIMA - T + 1, so classes are posted under so many coordinates only, and a pair
-needs least_matches of those.  *Skip.*  The lists of the other coordinates are
-never merged; they are looked up, as signatures, for the pairs that the counted
-lists leave.  A posting list is not expanded into all pairs either; the join runs
-in two rounds:
-
-1. each member of a list collides with the list's first member only.  Collisions
-   are added up over the lists, pairs that reach the threshold are looked up in
-   the skipped coordinates, confirmed on their full sets, and merge into
+COORDINATES * ROWS permutations; a pair of similarity s agrees in each with
+probability s.  A coordinate is a run of ROWS of them.  Every class of equal sets
+is posted under coordinate-value pairs, and collisions are counted: a pair at the
+threshold has at least `least_matches` equal coordinates but for a chance of
+MISS, so one with fewer is no link.
+
+*Prefix.*  A pair with T of COORDINATES equal coordinates has one among any
+COORDINATES - T + 1, so classes are posted under so many only.  *Skip.*  The
+lists of the other coordinates are never merged, nor are single minima posted;
+both are looked up, as signatures, for what the counted lists leave.  A posting
+list is not expanded into all pairs either; the join runs in two rounds:
+
+1. each member of a list collides with the list's first member only.  That counts
+   a part of a pair's collisions, those in lists that its one side leads, so any
+   such pair has its others looked up and added; pairs with enough equal
+   coordinates and minima are confirmed on their full sets, and merge into
    components;
 2. collisions inside of a component are skipped: only lists that still hold two
-   components count, and a member leaves that has too few of them.  What is left
+   components count, and a member leaves that has too few of them, or too few
+   minima in common with members of other components.  What is left
    is joined by prefixes of the full sets: shingles found in one component only
    come first, then the rarer before the commoner, and a member is posted under
    a shingle only while enough shingles follow it to reach the threshold.  A pair
@@ -27,6 +29,8 @@ in two rounds:
    however many they are; and no pair that is linked is left out.  Pairs then
    pass the same lookup and confirmation.
 
+Round 1 is a shortcut: what it does not find, round 2 does.
+
 Edge cases: a null, empty or blank text has the empty set and is linked with
 nothing; with fewer words than a shingle the whole sequence is one shingle;
 equal texts are one class, so ties and repeated rows cost nothing; rows that
@@ -50,8 +54,9 @@ from ._common import Scratch, stream, table
 from .graph import components
 from .shingles import Minima, fingerprint, shingle_set
 
-#: Coordinates of a signature, and the greatest chance to miss a pair at the threshold by any one count.
-MINIMA, MISS = 64, 1e-7
+#: Coordinates of a signature, minima of each, and the greatest chance to miss a pair at the threshold by any one count.
+COORDINATES, ROWS, MISS = 28, 3, 1e-7
+MINIMA = COORDINATES * ROWS
 
 
 def least_matches(share: float, count: int) -> int:
@@ -65,9 +70,14 @@ def least_matches(share: float, count: int) -> int:
     return max(1, h)
 
 
+def least_collisions(share: float) -> int:
+    """Equal coordinates that a pair at the threshold has."""
+    return least_matches(share**ROWS, COORDINATES)
+
+
 def prefix(share: float) -> int:
-    """The number of coordinates that are posted."""
-    return MINIMA - least_matches(share, MINIMA) + 1
+    """The number of coordinates that are posted: of COORDINATES with the least number of collisions, one is always among them."""
+    return COORDINATES - least_collisions(share) + 1
 
 
 @contextmanager
@@ -98,14 +108,16 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return stream(tagged, run, "doc_id long, tag binary, n_shingles long, fp binary, sig binary")
 
 
-def _looked_up(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) with at least `least` equal coordinates of all, the skipped ones included."""
+def _looked_up(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) with enough equal coordinates and minima of all, those in skipped lists included."""
+
+    collisions, least = least_collisions(share), least_matches(share, MINIMA)
 
     def run(batches):
         for rows in batches:
-            x = np.frombuffer(b"".join(rows["sa"]), np.uint32).reshape(len(rows["sa"]), -1)
-            y = np.frombuffer(b"".join(rows["sb"]), np.uint32).reshape(len(rows["sb"]), -1)
-            good = np.flatnonzero((x == y).sum(axis=1) >= least).tolist()
+            x, y = (np.frombuffer(b"".join(rows[k]), np.uint32).reshape(-1, COORDINATES, ROWS) for k in ("sa", "sb"))
+            same = x == y
+            good = np.flatnonzero((same.all(axis=2).sum(axis=1) >= collisions) & (same.sum(axis=(1, 2)) >= least)).tolist()
             yield {k: [rows[k][i] for i in good] for k in ("a", "b")}
 
     left = reps.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
@@ -175,8 +187,16 @@ def _across(posts: DataFrame, merged: DataFrame, reps: DataFrame, docs: DataFram
     scratch.drop(named)
     scratch.drop(keys)
     # Collisions with other components: a member's lists that hold one.
-    near = lists.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_matches(num / den, prefix(num / den)))
-    near = scratch.keep(near.join(reps.select("node", "doc_id", "fp", "size"), "node").drop("n"), "near")
+    share = num / den
+    some = lists.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_matches(share**ROWS, prefix(share)))
+    minima = F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.lit(i)) for i in range(MINIMA)))
+    held = scratch.keep(some.drop("n").join(reps, "node"), "some")
+    single = held.select("node", "comp", F.explode(minima).alias("g"))
+    met = scratch.keep(_mixed(single, "g"), "minima")
+    enough = single.join(met.select("g"), "g").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_matches(share, MINIMA))
+    near = scratch.keep(held.join(enough.select("node"), "node", "left_semi").select("node", "comp", "doc_id", "fp", "size"), "near")
+    scratch.drop(held)
+    scratch.drop(met)
     if near.isEmpty():
         scratch.drop(lists)
         return None
@@ -219,15 +239,17 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> t
     # A class is a node; its number is fixed by being written down.
     reps = some.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.first("sig").alias("sig"))
     reps = scratch.keep(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
-    coordinates = F.array(*(F.xxhash64(F.substring("sig", 1 + 4 * i, 4), F.lit(i)) for i in range(prefix(share))))
-    posts = reps.select("node", F.explode(coordinates).alias("key"))
+    width = 4 * ROWS
+    coordinates = F.array(*(F.xxhash64(F.substring("sig", 1 + width * i, width), F.lit(i)) for i in range(prefix(share))))
+    posts = reps.select("node", "doc_id", F.explode(coordinates).alias("key"))
 
-    low = scratch.keep(posts.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "low")
+    # A list's first member is that of the smallest doc_id: originals mostly come before their copies, which are more like them than like each other.
+    low = posts.groupBy("key").agg(F.min_by("node", "doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    low = scratch.keep(low, "low")
     # Lists of one member hold no pair; only the others are written down, once for both rounds.
-    posts = scratch.keep(posts.join(low, "key"), "posts")
-    star = posts.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    star = star.where(F.col("n") >= least_matches(share, prefix(share))).select("a", "b")
-    pairs = scratch.keep(_looked_up(star, reps, least_matches(share, MINIMA)), "stars")
+    posts = scratch.keep(posts.drop("doc_id").join(low, "key"), "posts")
+    star = posts.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    pairs = scratch.keep(_looked_up(star, reps, share), "stars")
     links = _confirmed(pairs, reps, docs, n, num, den, scratch)
     merged = components(links, scratch)
     scratch.drop(pairs)
@@ -236,7 +258,7 @@ def _classes(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> t
     scratch.drop(low)
     scratch.drop(posts)
     if rest is not None:
-        pairs = scratch.keep(_looked_up(rest, reps, least_matches(share, MINIMA)), "rest")
+        pairs = scratch.keep(_looked_up(rest, reps, share), "rest")
         scratch.drop(rest)
         more = _confirmed(pairs, reps, docs, n, num, den, scratch)
         scratch.drop(merged)

@@ -89,12 +89,12 @@ def test_equal_texts_with_other_columns_are_chosen_alike(spark):
 
 def test_thresholds_of_collisions_miss_hardly_any_pair():
     for share in (0.8, 0.85):
-        for count in (neardup.MINIMA, neardup.prefix(share)):
-            least = neardup.least_matches(share, count)
-            below = sum(math.comb(count, i) * share**i * (1 - share) ** (count - i) for i in range(least))
-            assert 1 < least < count and below <= neardup.MISS
+        for p, count in ((share, neardup.MINIMA), (share**neardup.ROWS, neardup.COORDINATES), (share**neardup.ROWS, neardup.prefix(share))):
+            least = neardup.least_matches(p, count)
+            below = sum(math.comb(count, i) * p**i * (1 - p) ** (count - i) for i in range(least))
+            assert 1 <= least < count and (below <= neardup.MISS or least == 1)
         # Any pair with the least number of equal coordinates has one among the posted ones.
-        assert neardup.MINIMA - neardup.prefix(share) < neardup.least_matches(share, neardup.MINIMA)
+        assert neardup.COORDINATES - neardup.prefix(share) < neardup.least_collisions(share)
 
 
 def test_settings_of_the_session_stay(spark):
