@@ -163,10 +163,14 @@ WITH texts AS (
   SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
 ), w AS (
   SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM texts
+), widths AS (
+  -- An item of fewer than five words is one shingle of its own length.
+  SELECT DISTINCT least(5, len(ws)) AS k FROM w WHERE side = 1 AND len(ws) > 0
 ), s AS (
-  SELECT side, id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))) AS g FROM w
+  SELECT DISTINCT side, id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS g
+  FROM w JOIN widths ON side = 0 OR k = least(5, len(ws))
 ), z AS (SELECT id, count(*) AS n FROM s WHERE side = 1 GROUP BY 1),
-hit AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM s d JOIN s b ON d.side = 0 AND b.side = 1 AND d.g = b.g GROUP BY 1, 2)
+hit AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM s d JOIN s b ON d.side = 0 AND b.side = 1 AND d.k = b.k AND d.g = b.g GROUP BY 1, 2)
 SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids
 FROM hit JOIN z ON z.id = hit.item_id WHERE 5 * c >= 4 * n GROUP BY 1
 """

@@ -10,13 +10,16 @@ column: the DENSE columns held by most landmarks are multiplied densely, the res
 through lists of the landmarks that hold them.  Grams that no landmark holds count
 in a text's norm only; that scales all its columns alike.
 
-The fit reads a bounded sample of labelled rows (SAMPLE of each language, by a
-hash of the id); scoring reads every row and every whole text.
+The fit reads a bounded sample of labelled rows (SAMPLE of each language, fewer
+where there would be more than MOST_ROWS in all, but one of every language at
+least, however many there are), chosen by a hash of the id; scoring reads every
+row and every whole text.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, as is
 every text if there is no labelled row; very long texts are scored whole and
 in a batch of their own; ties go to the language that sorts first; repeated
-rows get equal results; other columns are not read.
+rows get equal results; a row without an id is in no fold; an empty table gives an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from ._common import doc_hash, held_out, sample_by_class, stream, table
 
 #: Labelled rows of each language that the fit reads, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 250, 40
-#: Most rows and landmarks, whatever the number of languages.
+#: Most rows and landmarks, but for one of every language.
 MOST_ROWS, MOST_LANDMARKS = 8000, 512
 GRAMS = (1, 2, 3, 4)
 RIDGE = 1e-2

@@ -17,7 +17,9 @@ of the id), weighted back to the classes' shares; scoring reads every row.
 Edge cases: null, empty and blank texts have no words and get the layer's bias;
 texts of any length count whole; without labelled rows of both classes the
 score is the share of label 1 (0.5 without any labels); repeated labels are
-used as often as they occur; repeated rows get equal scores; other columns are not read.
+used as often as they occur; repeated rows get equal scores; a row without an id
+is in no fold; an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -66,3 +66,22 @@ def test_query(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {i: ",".join(map(str, sorted(h))) for i, t in docs if (h := brute.held_items(t, items))}
     assert {r.doc_id: r.item_ids for r in d.op7_decontaminate(spark, sf).collect()} == want
+
+
+def test_sql_finds_short_items_too(spark):
+    import duckdb
+
+    docs = [(1, "One two three four five six"), (2, "two THREE four"), (3, "x y"), (4, None), (5, "y x y z a b c d"), (6, "")]
+    items = [(1, "two three four five six"), (2, "three four"), (3, "X Y"), (4, "z"), (5, "a b c d e f"), (6, ""), (7, None), (8, "q")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = {i: sorted(h) for i, t in docs if (h := brute.held_items(t, items))}
+    assert {1: [1, 2], 2: [2], 3: [3], 5: [3, 4]} == want
+    assert {r[0]: [int(x) for x in r[2].split(",")] for r in con.execute(d.OP7_SQL).fetchall()} == want
+    x, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in d.contamination(x, y).collect():
+        got.setdefault(r.doc_id, []).append(r.item_id)
+    assert {k: sorted(v) for k, v in got.items()} == want
