@@ -397,28 +397,18 @@ _cube_query("cube_treemap", cubes.CubeSpec("lineitem", QUANTITY, (cubes.TargetDi
             lambda c: c.slice(5, 20))
 
 
-@register("cube_line_env", "events", f"""
-WITH t AS (SELECT event_id AS x, value AS y, user_id AS f FROM events WHERE event_id BETWEEN 0 AND 9000),
-c AS (SELECT {sql_axis("f", "0.0", "1000.0", 64)} AS free_bin, {sql_axis("x", "0.0", "9000.0", 30)} AS b, x, y FROM t WHERE f BETWEEN 0 AND 1000),
-g AS (SELECT b, CAST(min(y) AS FLOAT) AS lo, CAST(max(y) AS FLOAT) AS hi FROM c WHERE free_bin BETWEEN 6 AND 44 GROUP BY 1)
-SELECT b AS __bin__event_id, CAST(lo AS DOUBLE) AS y_min, CAST(hi AS DOUBLE) AS y_max FROM g""")
-def cube_line_env(df):
-    spec = cubes.CubeSpec("events", cubes.FreeAxis("user_id", p=64, domain=(0.0, 1000.0)), (cubes.TargetDim("event_id", "binned", 30, (0.0, 9000.0)),), cubes.Measure("line_env", "value"))
-    return cubes.build(df, spec).slice(100, 700).select("__bin__event_id", "y_min", "y_max")
-
-
 @register("cube_line_env_whole", "events", f"""
 WITH d AS (SELECT CAST(min(event_id) AS DOUBLE) AS xl, CAST(max(event_id) AS DOUBLE) AS xh, CAST(min(user_id) AS DOUBLE) AS fl, CAST(max(user_id) AS DOUBLE) AS fh FROM events),
 c AS (SELECT {sql_axis("user_id", "fl", "fh", 64)} AS free_bin, {sql_axis("event_id", "xl", "xh", 30)} AS b, value AS y FROM events, d WHERE value IS NOT NULL)
 SELECT b AS __bin__event_id, CAST(CAST(min(y) AS FLOAT) AS DOUBLE) AS y_min, CAST(CAST(max(y) AS FLOAT) AS DOUBLE) AS y_max FROM c WHERE free_bin BETWEEN 6 AND 44 GROUP BY 1""")
 def cube_line_env_whole(df):
-    """As cube_line_env, over all rows: both domains, and the brush as shares of one, come from the table."""
+    """Heights alone; both domains, and the brush as shares of one, come from the table."""
     (lo, hi), ids = ((0.0, 1.0) if d[0] is None else d for d in (histogram.domain(df, "user_id"), histogram.domain(df, "event_id")))
     spec = cubes.CubeSpec("events", cubes.FreeAxis("user_id", p=64, domain=(lo, hi)), (cubes.TargetDim("event_id", "binned", 30, ids),), cubes.Measure("line_env", "value"))
     return cubes.build(df, spec).slice(lo + 6.5 / 64 * (hi - lo), lo + 44.5 / 64 * (hi - lo)).select("__bin__event_id", "y_min", "y_max")
 
 
-@register("cube_line_env_points", "events", f"""
+@register("cube_line_env", "events", f"""
 WITH d AS (SELECT CAST(min(event_id) AS DOUBLE) AS xl, CAST(max(event_id) AS DOUBLE) AS xh, CAST(min(user_id) AS DOUBLE) AS fl, CAST(max(user_id) AS DOUBLE) AS fh FROM events),
 c AS (SELECT {sql_axis("user_id", "fl", "fh", 64)} AS f, {sql_axis("event_id", "xl", "xh", 30)} AS b, CAST(event_id AS DOUBLE) AS x, value AS y, xl, (xh - xl) / 30 AS w FROM events, d WHERE value IS NOT NULL),
 cell AS (SELECT f, b, any_value(xl) + b * any_value(w) AS edge, any_value(w) AS w, CAST(min(y) AS FLOAT) AS lo, arg_min(x, (y, x)) AS lo_x, CAST(max(y) AS FLOAT) AS hi, arg_min(x, (-y, x)) AS hi_x FROM c WHERE f BETWEEN 6 AND 44 GROUP BY 1, 2),
@@ -426,7 +416,7 @@ q AS (SELECT *, greatest(0, least(65535, round_even((lo_x - edge) / w * 65535, 0
 p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY lo, f, lo_at) AS i, row_number() OVER (PARTITION BY b ORDER BY hi DESC, f, hi_at) AS j FROM q)
 SELECT b AS __bin__event_id, CAST(max(CASE WHEN i = 1 THEN lo END) AS DOUBLE) AS y_min, round(max(CASE WHEN i = 1 THEN edge + lo_at / 65535.0 * w END), 6) AS x_at_ymin,
   CAST(max(CASE WHEN j = 1 THEN hi END) AS DOUBLE) AS y_max, round(max(CASE WHEN j = 1 THEN edge + hi_at / 65535.0 * w END), 6) AS x_at_ymax FROM p GROUP BY 1""")
-def cube_line_env_points(df):
+def cube_line_env(df):
     """Both extremes of every bucket with the places they stand at, as the cube stores them."""
     (lo, hi), ids = ((0.0, 1.0) if d[0] is None else d for d in (histogram.domain(df, "user_id"), histogram.domain(df, "event_id")))
     spec = cubes.CubeSpec("events", cubes.FreeAxis("user_id", p=64, domain=(lo, hi)), (cubes.TargetDim("event_id", "binned", 30, ids),), cubes.Measure("line_env", "value"))

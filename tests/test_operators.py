@@ -247,3 +247,59 @@ def test_spearman_with_ties(spark):
 def test_matrix_shape():
     assert correlation.matrix(["a", "b"], {("a", "b"): 0.5}) == [[1.0, 0.5], [0.5, 1.0]]
     assert correlation.matrix(["a", "b"], {("a", "b"): 0.5}, True) == [[None, None], [0.5, None]]
+
+
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(20,3)", "int"])
+def test_ranks_by_bins_are_exact(spark, kind):
+    from decimal import Decimal
+
+    rnd = random.Random(3)
+    draw = {
+        "double": lambda: rnd.choice([0.0, -0.0, 1e-310, -1e300, 1e300, 5e-324, rnd.gauss(0, 1), rnd.gauss(0, 1) * 1e6, 7.5]),
+        "long": lambda: rnd.choice([0, 2**62 + rnd.randrange(50), -(2**61), rnd.randrange(-1000, 1000), 5]),
+        "decimal(20,3)": lambda: Decimal(rnd.randrange(-(10**9), 10**9)) / 1000,
+        "int": lambda: rnd.randrange(3),
+    }[kind]
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, None]), draw()) for _ in range(1500)] + [("one", 1, draw())]
+    df = spark.createDataFrame(rows, f"g string, h int, v {kind}")
+    ranks = {"first": lambda n: F.lit(0), "middle": lambda n: F.floor((n - 1) / 2), "last": lambda n: n - 1}
+    for by in ((), ("g",), ("g", "h")):
+        want = {}
+        for g, h, v in rows:
+            want.setdefault((g, h)[: len(by)], []).append(v)
+        for method in ("bins", "window"):
+            got = {tuple(r)[: len(by)]: tuple(r)[len(by) :] for r in ordering.pick_ranks(df, "v", by, ranks, method).collect()}
+            assert got == {k: (min(v), sorted(v)[(len(v) - 1) // 2], max(v)) for k, v in want.items()}
+    assert ordering.pick_ranks(df.where("false"), "v", ("g",), ranks, "bins").count() == 0
+
+
+def test_many_groups_fall_back_to_a_window(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW_RANKS", 10)
+    df = spark.range(100).select((F.col("id") % 20).alias("g"), F.col("id").cast("double").alias("v"))
+    got = {r.g: r.m for r in ordering.pick_ranks(df, "v", ("g",), {"m": lambda n: n - 1}, "bins").collect()}
+    assert got == {i: 80.0 + i for i in range(20)}
+
+
+def test_ties_keep_their_numbers(spark):
+    rows = [(i % 3, i, {"k": i} if i % 2 else None) for i in range(60)]
+    numbers = []
+    for parts, method in ((1, "window"), (5, "window"), (3, "ranges"), (7, "ranges")):
+        df = spark.createDataFrame(rows, "t int, id int, m map<string,int>").repartition(parts)
+        numbers.append({r.id: r.ri for r in ordering.with_position(df, ["t"], (), method).collect()})
+    assert all(n == numbers[0] for n in numbers) and sorted(numbers[0].values()) == list(range(60))
+
+
+def test_written_copies_are_dropped(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(ordering, "SMALL_BYTES", 0)
+    df = spark.range(500).select(F.col("id").alias("x"), (F.col("id") * 37 % 101).cast("double").alias("y"))
+    placed = ordering.with_position(df, ["x"])
+    folder = os.path.dirname(placed.copy.removeprefix("file://"))
+    before = set(os.listdir(folder))
+    got = downsample.min_max(df, "x", "y", ["x"], 20)
+    new = set(os.listdir(folder)) - before
+    # What stays is the result.
+    assert len(new) == 1 and got.count() == 20 and spark.read.parquet(f"{folder}/{new.pop()}").count() == 20
+    ordering.drop(placed)
+    assert not os.path.exists(placed.copy)
