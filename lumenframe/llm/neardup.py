@@ -298,13 +298,14 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     rows, classes = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den, scratch)
     linked = rows.where("fp is not null and doc_id is not null").join(classes, "fp")
     first = linked.groupBy("part").agg(F.min(F.struct("doc_id", "tag")).alias("least")).select("least.*")
-    first = scratch.keep(first.select(F.col("doc_id").alias("__kept"), F.col("tag").alias("__tag")), "kept")
+    # Names that no column of `docs` can have.
+    kept, tag, row = (f"__{n}" + "_" * max(map(len, docs.columns)) for n in ("kept", "tag", "row"))
+    first = scratch.keep(first.select(F.col("doc_id").alias(kept), F.col("tag").alias(tag)), "kept")
     # As `words` has it: anything but ASCII white space is a word.
     free = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    same = (F.col("doc_id").cast("long") == F.col("__kept")) & (F.unhex(F.md5("text")) == F.col("__tag"))
+    same = (F.col("doc_id").cast("long") == F.col(kept)) & (F.unhex(F.md5("text")) == F.col(tag))
     chosen = docs.where(~free).join(first, same, "left_semi")
     # Only repeated rows are left to choose from, and a limit of one a group is kept before the shuffle too.
-    row = "__row" + "_" * max(map(len, docs.columns))
     order = Window.partitionBy("doc_id", F.md5("text")).orderBy(*(F.col(c).cast("string") for c in docs.columns))
     one = chosen.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return one.unionByName(docs.where(free))

@@ -72,7 +72,7 @@ def test_keep_one_keeps_columns_and_one_row(spark):
 
 def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
     rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "x"), (0, "h i j k l m n", "x"), (2, "a b c d e f g", "x"), (5, "o p q r s", "__row"), (5, "t u v w x", "__row"), (6, " ", "b"), (6, " ", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, __row string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.link(df, 5, 80, 100).collect())
     assert got == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True)]
     out = neardup.keep_one(df)
