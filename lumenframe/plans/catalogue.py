@@ -510,6 +510,59 @@ def engine_viewport(df):
     return rounded(_pairs(df, [("zoom", got["x"], got["y"])], "double"), "x", digits=3)
 
 
+@register("engine_viewport_descending", "lineitem", ORACLES["engine_viewport"].replace("'zoom'", "'reversed'"))
+def engine_viewport_descending(df):
+    """A view whose ends come the wrong way round is the same view."""
+    engine, infos = _engine(df, traces.Histogram(x="l_extendedprice", bins=N))
+    event = spec.InteractionEvent("viewport", figure_uid="f0", axis_ranges={"x": (60000.0, 20000.0)}, force_update=True)
+    got = engine.process(event, infos)[-1].updates
+    return rounded(_pairs(df, [("reversed", got["x"], got["y"])], "double"), "x", digits=3)
+
+
+@register("engine_grid_percent", "lineitem", f"""
+WITH d AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh, min(l_extendedprice) AS yl, max(l_extendedprice) AS yh FROM lineitem),
+c AS (SELECT {sql_grid("l_quantity", "xl", "xh", 6)} AS xb, {sql_grid("l_extendedprice", "yl", "yh", 4)} AS yb, count(*) AS n FROM lineitem, d GROUP BY 1, 2)
+SELECT xb, yb, round(n * 100.0 / sum(n) OVER (), 6) AS value FROM c""")
+def engine_grid_percent(df):
+    """The cells of a normalised grid as its payload has them; empty ones are blank."""
+    engine, infos = _engine(df, traces.Histogram2D("l_quantity", "l_extendedprice", x_bins=6, y_bins=4, histnorm="percent"))
+    z = engine.process(spec.InteractionEvent("init", force_update=True), infos)[-1].updates["z"]
+    cells = [(i, j, float(v)) for j, row in enumerate(z) for i, v in enumerate(row) if v is not None]
+    return rounded(df.sparkSession.createDataFrame(cells, "xb int, yb int, value double"), "value")
+
+
+@register("engine_corr_triangular", "lineitem", "\nUNION ALL\n".join(f"SELECT '{a}' AS x, '{b}' AS y, round(abs(corr({a}, {b})), 6) AS r FROM lineitem" for a, b in _PAIRS))
+def engine_corr_triangular(df):
+    """The cells of a triangular heat map of absolute correlations, with their places on the axes."""
+    engine, infos = _engine(df, traces.CorrHeatmap(list(_CORR), triangular=True, absolute=True))
+    got = engine.process(spec.InteractionEvent("init", force_update=True), infos)[-1].updates
+    cells = [(x, y, float(v)) for y, row in zip(got["y"], got["z"]) for x, v in zip(got["x"], row) if v is not None]
+    return rounded(df.sparkSession.createDataFrame(cells, "x string, y string, r double"), "r")
+
+
+@register("engine_treemap", "lineitem", """
+SELECT 'root' AS id, '' AS parent, '' AS label, round(sum(l_quantity), 2) AS value FROM lineitem
+UNION ALL SELECT 'root/' || l_returnflag, 'root', l_returnflag, round(sum(l_quantity), 2) FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'root/' || l_returnflag || '/' || l_linestatus, 'root/' || l_returnflag, l_linestatus, round(sum(l_quantity), 2) FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def engine_treemap(df):
+    """The nodes of a treemap with their ids and parents."""
+    engine, infos = _engine(df, traces.TreeMap(["l_returnflag", "l_linestatus"], "l_quantity"))
+    got = engine.process(spec.InteractionEvent("init", force_update=True), infos)[-1].updates
+    nodes = [(i, p, n, float(v)) for i, p, n, v in zip(got["ids"], got["parents"], got["labels"], got["values"])]
+    return rounded(df.sparkSession.createDataFrame(nodes, "id string, parent string, label string, value double"), "value", digits=2)
+
+
+@register("engine_groups", "lineitem", f"""
+WITH d AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) + 1e-10 AS hi FROM lineitem),
+c AS (SELECT l_linestatus, {sql_hist("l_extendedprice", "lo", "hi", 8)} AS bin, count(*) AS n FROM lineitem, d GROUP BY 1, 2)
+SELECT g.l_linestatus AS part, CAST(r.range AS INTEGER) AS x, CAST(coalesce(n, 0) AS DOUBLE) AS y FROM (SELECT DISTINCT l_linestatus FROM lineitem) g CROSS JOIN range(8) r LEFT JOIN c ON c.bin = r.range AND c.l_linestatus = g.l_linestatus""")
+def engine_groups(df):
+    """The children of a grouped histogram, by the keys of their groups."""
+    engine, infos = _engine(df, traces.Histogram(x="l_extendedprice", bins=8, group_by="l_linestatus"))
+    groups = engine.process(spec.InteractionEvent("init", force_update=True), infos)[-1].group_results
+    return _pairs(df, [(g.group_value_key, list(range(8)), g.updates["y"]) for g in groups], "int")
+
+
 @register("engine_brush", "lineitem", """
 WITH d AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
 SELECT 'brush' AS part, l_returnflag AS x, round(sum(l_quantity), 2) AS y FROM lineitem, d
