@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that an operator's function sees at once.  Spark's own batches, which it bounds by bytes, are cut into such pieces;
-#: no setting of the session is touched.
+#: Rows that an operator's function sees at once, and most rows of a batch on its way there.
 BATCH_ROWS = 512
 
 _SHIPPED: set[str] = set()
@@ -92,6 +91,16 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to BATCH_ROWS, whatever operator asks; one that wants fewer cuts its batches itself.
+
+    A batch of long texts else takes 64 MB in the JVM and again in Python, for each core.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
@@ -107,6 +116,7 @@ def stream(
     """`fn` maps an iterator of {column: list} batches to batches of `schema` (lists, numpy or Arrow arrays); Arrow carries them."""
     spark = df.sparkSession
     ship(spark)
+    short_batches(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -124,6 +134,7 @@ def stream(
 def pick_rows(df: DataFrame, text: str, start: Callable[[], Callable[[list], list[bool]]], batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The rows of `df`, all columns as they are, whose text passes; `start()` makes the test once in each task."""
     ship(df.sparkSession)
+    short_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +148,7 @@ def pick_rows(df: DataFrame, text: str, start: Callable[[], Callable[[list], lis
 def map_text(df: DataFrame, text: str, start: Callable[[], Callable[[list], list]], length: str | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The rows of `df` with their texts rewritten, and the column `length`, if there, set to the new lengths."""
     ship(df.sparkSession)
+    short_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import graph, neardup
 from lumenframe.llm.graph import components
-from lumenframe.llm._common import Scratch
+from lumenframe.llm._common import BATCH_ROWS, Scratch
 from tests.llm import brute
 
 EDGES = [(900, None, "x"), (901, "", "x"), (902, " \t\n", "x"), (903, "One", "x"), (904, "one", "x"), (905, "one two", "x"), (906, "ONE  two", "x"), (907, "É a b c", "x"), (908, "é a b c", "x"), (909, "q r s t u", "x"), (910, "q r s t u", "x")]
@@ -98,9 +98,15 @@ def test_thresholds_of_collisions_miss_hardly_any_pair():
 
 
 def test_settings_of_the_session_stay(spark):
-    before = dict(spark.sparkContext.getConf().getAll()) | {k: spark.conf.get(k, None) for k in ("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    key, rows = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
     linked(spark, corpus(4, 5), 3, 85, 100)
-    assert all(spark.conf.get(k, None) == v for k, v in before.items() if k.startswith("spark.sql"))
+    assert spark.conf.get(key, None) == before and int(spark.conf.get(rows)) <= BATCH_ROWS
+    # A session that asks for shorter batches keeps them.
+    spark.conf.set(rows, "100")
+    linked(spark, corpus(4, 5), 3, 85, 100)
+    assert spark.conf.get(rows) == "100"
+    spark.conf.unset(rows)
 
 
 def test_one_very_long_document(spark):
