@@ -291,8 +291,9 @@ def line_viewport(df):
 
 @register("row_index_ranges", "events", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS ri, count(*) OVER (PARTITION BY event_type) AS n_rows FROM events")
 def row_index_ranges(df):
-    """The scale path of row numbering, by ranges, whatever the size."""
-    return ordering.with_position(df.select("event_type", "event_id", "ts"), ["ts"], ("event_type",), "ranges").select("event_type", "event_id", "ri", "n_rows")
+    """The scale path of row numbering, by ranges, whatever the size.  Rows without a time come last, as in SQL; of rows with one time, which SQL leaves open, the smaller event_id comes first."""
+    rows = df.select("event_type", "event_id", "ts", F.col("ts").isNull().alias("untimed"))
+    return ordering.with_position(rows, ["untimed", "ts", "event_id"], ("event_type",), "ranges").select("event_type", "event_id", "ri", "n_rows")
 
 
 @register("line_envelope2d", "events", f"""

@@ -49,3 +49,24 @@ def test_whole_line_cube_reads_every_event(spark):
     inside = df.where(f"floor((user_id - {lo}) / {hi - lo}D * 64) between 6 and 44")
     want = inside.groupBy(F.floor(df.event_id / top * 30).alias("b")).agg(F.min("value").cast("float").cast("double"), F.max("value").cast("float").cast("double")).collect()
     assert got == {r[0]: r[1:] for r in want}
+
+
+def numbered(spark, folder, rows, sql=catalogue.ORACLES["row_index_ranges"]):
+    """row_index_ranges over a query's rows as events, and SQL over the same file."""
+    con = duckdb.connect()
+    con.execute(f"COPY ({rows}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    df = catalogue.QUERIES["row_index_ranges"](spark, str(folder)).select("event_type", "event_id", "ri", "n_rows")
+    return sorted(map(tuple, df.collect()), key=repr), sorted(con.execute(sql).fetchall(), key=repr)
+
+
+def test_rows_without_time_are_numbered_last(spark, tmp_path):
+    got, want = numbered(spark, tmp_path, "SELECT i AS event_id, CASE WHEN i > 2 THEN TIMESTAMP '1969-12-31 23:59:30' + to_seconds(i * 37 % 101) END AS ts, CASE i % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS event_type FROM range(100) r(i)")
+    assert got == want
+
+
+def test_tied_rows_are_numbered_by_event_id(spark, tmp_path):
+    """ORDER BY ts leaves them open, and DuckDB's answer may change from run to run, so the SQL is completed here."""
+    rows = "SELECT i AS event_id, CASE WHEN i % 50 > 0 THEN TIMESTAMP '2024-01-01' + to_seconds(i % 50) END AS ts, 'g' || (i % 2) AS event_type FROM range(3000) r(i) ORDER BY hash(i)"
+    got, want = numbered(spark, tmp_path, rows, catalogue.ORACLES["row_index_ranges"].replace("ORDER BY ts", "ORDER BY ts, event_id"))
+    assert got == want
